@@ -35,13 +35,16 @@ def to_wide(
     The question list fixes the columns, so no scan is needed to find them. A
     question answered twice by one response is an error, as `max` would hide it.
     """
-    unique = F.when(
-        F.count("*") > 1, F.raise_error(F.lit("a response has two rows for one question")).cast("string")
-    ).otherwise(F.max(name(value)))
-    one = df.groupBy(*ids, "question").agg(unique.alias("_v"))
-    return one.groupBy(*ids).agg(
-        *[F.max(F.when(F.col("question") == q, F.col("_v"))).alias(f"{q}{suffix}") for q in questions]
-    )
+    cells = []
+    for q in questions:
+        here = F.col("question") == q
+        twice = F.raise_error(F.lit(f"a response has two rows for {q}")).cast("string")
+        cells.append(
+            F.when(F.count_if(here) > 1, twice)
+            .otherwise(F.max(F.when(here, name(value))))
+            .alias(f"{q}{suffix}")
+        )
+    return df.groupBy(*ids).agg(*cells)
 
 
 def drop_untranslated(df: DataFrame, suffix: str = "_translated") -> DataFrame:

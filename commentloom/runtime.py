@@ -3,32 +3,37 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for cut lineage, as named by the cluster.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables of this application.
 
-    A folder of our own is set only in local mode when none is configured.
+    It lies in the shared folder the cluster names in `spark.checkpoint.dir`. Only in
+    local mode, with none configured, a folder of our own is made.
     """
     context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
+    base = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        configured = tempfile.mkdtemp(prefix="commentloom-")
-    context.setCheckpointDir(configured)
-    return configured
+        base = tempfile.mkdtemp(prefix="commentloom-")
+        context.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/tables-{context.applicationId}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` reliably, so that later steps restart from files."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write `df` to a table in the shared folder and go on from there.
+
+    Later steps restart from files when executors are lost, read only the columns they
+    need, and plan with true sizes. Unlike a checkpointed frame the table carries no
+    inferred constraints, which would grow from round to round of an iteration.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
