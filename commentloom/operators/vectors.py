@@ -6,7 +6,7 @@ column of a survey, so tables with one row per question stay small.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,8 +15,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
-# Partial sums of one question are merged in this many groups before the last one.
-MERGE_GROUPS = 32
+# Tasks that add up numbers, and partial sums that one task merges at a time.
+SUM_TASKS = 4096
+FAN_IN = 16
 
 
 def id_type(df: DataFrame) -> str:
@@ -62,24 +63,19 @@ def principal_components(z: DataFrame, dims: int = 50) -> DataFrame:
     """`question, component, weights, variance` of standardised vectors.
 
     One pass over the data for all questions: each task adds up its outer
-    products, the sums are merged in two steps, and the small symmetric matrix
-    of a question is decomposed in one task. The largest weight of
-    every component is positive, which fixes its sign.
+    products, the sums are merged by a tree of tasks of 16 inputs each, and the
+    small symmetric matrix of a question is decomposed in one task. The largest
+    weight of every component is positive, which fixes its sign.
     """
-    sums = z.select("question", "embedding").mapInPandas(
-        _outer_products, "question string, slot int, i int, n long, row array<double>"
-    )
-    merged = sums.groupBy("question", "slot", "i").applyInPandas(
-        _add_rows, "question string, slot int, i int, n long, row array<double>"
-    )
-    merged = merged.groupBy("question", "i").applyInPandas(
-        _add_rows, "question string, slot int, i int, n long, row array<double>"
-    )
+    def products(q: str, x: np.ndarray) -> np.ndarray:
+        return np.append((x.T @ x).ravel(), len(x))
+
+    sums = summed(z.select("question", "embedding"), products)
 
     def decompose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("i")
-        n = int(rows["n"].iloc[0])
-        products = np.vstack(rows["row"].to_list())
+        totals = np.asarray(rows["totals"].iloc[0])
+        n, width = int(totals[-1]), round(np.sqrt(len(totals) - 1))
+        products = totals[:-1].reshape(width, width)
         k = min(dims, products.shape[0], n)
         variance, axes = np.linalg.eigh(products / max(n - 1, 1))
         best = np.argsort(-variance, kind="stable")[:k]
@@ -95,7 +91,7 @@ def principal_components(z: DataFrame, dims: int = 50) -> DataFrame:
             }
         )
 
-    return merged.groupBy("question").applyInPandas(
+    return sums.groupBy("question").applyInPandas(
         decompose, "question string, component int, weights array<double>, variance double"
     )
 
@@ -124,29 +120,39 @@ def reduce_dimensions(df: DataFrame, dims: int = 50) -> DataFrame:
     return z.mapInPandas(project, z.schema)
 
 
-def _outer_products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    totals: dict[str, list] = {}
-    for batch in batches:
-        for q, at in batch.groupby("question").indices.items():
-            x = np.vstack(batch["embedding"].to_numpy()[at])
-            held = totals.setdefault(q, [0, 0.0])
-            held[0] += len(at)
-            held[1] = held[1] + x.T @ x
-    slot = TaskContext.get().partitionId() % MERGE_GROUPS
-    for q, (n, products) in totals.items():
-        yield pd.DataFrame(
-            {
-                "question": q,
-                "slot": slot,
-                "i": np.arange(len(products), dtype=np.int32),
-                "n": n,
-                "row": list(products),
-            }
-        )
+def summed(df: DataFrame, numbers: Callable[[str, np.ndarray], np.ndarray]) -> DataFrame:
+    """`question, totals`: summed `numbers(question, matrix)` over the vectors of a question.
 
+    Each task adds up its own rows; a tree of tasks with 16 inputs each merges
+    the partial sums, so that no task holds the sums of all others.
+    """
 
-def _add_rows(rows: pd.DataFrame) -> pd.DataFrame:
-    first = rows.iloc[:1].copy()
-    first["n"] = rows["n"].sum()
-    first["row"] = [np.sum(np.vstack(rows["row"].to_list()), axis=0)]
-    return first
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for q, at in batch.groupby("question").indices.items():
+                more = numbers(q, np.vstack(batch["embedding"].to_numpy()[at]))
+                totals[q] = totals[q] + more if q in totals else more
+        slot = TaskContext.get().partitionId()
+        for q, total in totals.items():
+            yield pd.DataFrame({"question": [q], "slot": [slot], "totals": [total]})
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        total = rows["totals"].iloc[0].copy()
+        for more in rows["totals"].iloc[1:]:
+            total += more
+        return rows.iloc[:1].assign(totals=[total])
+
+    schema = "question string, slot int, totals array<double>"
+    spread = df.coalesce(SUM_TASKS)
+    sums = spread.mapInPandas(add, schema)
+    # As many merge steps as the number of tasks needs: none for one task.
+    inputs = spread.rdd.getNumPartitions()
+    while inputs > 1:
+        inputs = -(-inputs // FAN_IN)
+        sums = (
+            sums.withColumn("slot", F.floor(F.col("slot") / FAN_IN).cast("int"))
+            .groupBy("question", "slot")
+            .applyInPandas(merge, schema)
+        )
+    return sums.select("question", "totals")
