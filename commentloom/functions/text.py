@@ -6,20 +6,25 @@ from pyspark.sql import Column, functions as F
 
 # Patterns without look-around, so that other regex engines accept them unchanged.
 EDGE_SPACE = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
-LINE_BREAK = "[\r\n]"
+VISIBLE = r"[^\s\p{Z}]"
 MARKUP = r"[\p{Cc}<>]|<[^>]*>|&[a-zA-Z0-9#]+;"
 TAG = r"<[^>]*>"
 WORD = r"[\p{L}\p{M}\p{N}_]+(?:['’.][\p{L}\p{M}\p{N}_]+)*"
 TERM = r"[\p{L}\p{M}\p{N}_]+(?:['’.-][\p{L}\p{M}\p{N}_]+)*|[\p{Sm}\p{Sc}\p{Sk}\p{So}]"
 
 
+# The characters of the class [\s\p{Z}].
+SPACES = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def utrim(col: Column) -> Column:
-    """Strip any Unicode white space from both ends (`trim` strips U+0020 only)."""
-    return F.regexp_replace(col, EDGE_SPACE, "")
+    """Strip any Unicode white space from both ends (plain `trim` strips U+0020 only)."""
+    return F.btrim(col, F.lit(SPACES))
 
 
 def is_missing(col: Column) -> Column:
-    return col.isNull() | (utrim(col) == "")
+    """Null, or nothing but white space: the search ends at the first visible character."""
+    return col.isNull() | ~col.rlike(VISIBLE)
 
 
 def is_short(col: Column, min_length: int) -> Column:
@@ -29,7 +34,7 @@ def is_short(col: Column, min_length: int) -> Column:
 
 def clean_text(col: Column) -> Column:
     """One space for each CR or LF, then trim."""
-    return utrim(F.regexp_replace(col, LINE_BREAK, " "))
+    return utrim(F.translate(col, "\r\n", "  "))
 
 
 def is_translatable(col: Column, min_length: int) -> Column:

@@ -18,9 +18,13 @@ def to_long(df: DataFrame, questions: Sequence[str], ids: Sequence[str] = ("resp
 
 
 def comments(long: DataFrame, min_length: int = 10) -> DataFrame:
-    """Clean each text and keep those long enough to translate."""
-    cleaned = long.withColumn("clean_text", clean_text(F.col("text")))
-    return cleaned.where(is_translatable(F.col("clean_text"), min_length))
+    """Clean each text and keep those long enough to translate.
+
+    The clean text passes the test inside a generator, since a filter on a
+    computed column would be pushed below it and compute the text twice.
+    """
+    long_enough = F.filter(F.array(clean_text(F.col("text"))), lambda c: is_translatable(c, min_length))
+    return long.select("*", F.explode(long_enough).alias("clean_text"))
 
 
 def to_wide(

@@ -11,7 +11,13 @@ PER_PAGE = len(DEFAULT_QUESTIONS)
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{table}.parquet")
+    """A shared table, spread over all cores when it has fewer splits than those.
+
+    Large tables have more splits than there are cores and are not shuffled.
+    """
+    df = spark.read.parquet(f"{folder}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def survey(spark: SparkSession, folder: str) -> DataFrame:
