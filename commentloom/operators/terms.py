@@ -26,12 +26,12 @@ def _matches_pattern(term: Column, settings: TermSettings) -> Column:
     return term.rlike("(?i)(?:" + "|".join(settings.regex_stop_words) + ")")
 
 
-def kept_terms(df: DataFrame, settings: TermSettings = TermSettings()) -> DataFrame:
-    """`question, term`, one row per kept token of `question, text`.
+def kept_terms(df: DataFrame, settings: TermSettings = TermSettings(), by: tuple[str, ...] = ()) -> DataFrame:
+    """`question, *by, term`, one row per kept token of `question, text`.
 
     The stop-word table is as large as the settings, so it is broadcast.
     """
-    tokens = df.select("question", F.explode(terms(sanitize(F.col("text")))).alias("term"))
+    tokens = df.select("question", *by, F.explode(terms(sanitize(F.col("text")))).alias("term"))
     stop = F.broadcast(stopword_table(df.sparkSession, settings))
     everywhere = stop.where(F.col("question") == EVERY).select("term")
     by_question = stop.where(F.col("question") != EVERY)
@@ -42,32 +42,38 @@ def kept_terms(df: DataFrame, settings: TermSettings = TermSettings()) -> DataFr
     )
 
 
-def term_table(df: DataFrame, settings: TermSettings = TermSettings()) -> DataFrame:
-    """`question, term, freq_sum, rank, weight`: the most frequent terms.
+def term_table(df: DataFrame, settings: TermSettings = TermSettings(), by: tuple[str, ...] = ()) -> DataFrame:
+    """`question, *by, term, freq_sum, rank, weight`: the most frequent terms.
 
     At most `max_words` terms of at least `min_freq`; ties fall to the term.
     The weight is frequency to the power `weight_power`, the largest being 100.
     """
+    group = ("question", *by)
     counts = (
-        kept_terms(df, settings)
-        .groupBy("question", "term")
+        kept_terms(df, settings, by)
+        .groupBy(*group, "term")
         .agg(F.count("*").alias("freq_sum"))
         .where(F.col("freq_sum") >= settings.min_freq)
     )
-    order = Window.partitionBy("question").orderBy(F.desc("freq_sum"), "term")
+    order = Window.partitionBy(*group).orderBy(F.desc("freq_sum"), "term")
     top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= settings.max_words)
     power = F.pow("freq_sum", F.lit(settings.weight_power))
     # Only the kept terms are left here, so the window is small.
-    return top.withColumn("weight", power / F.max(power).over(Window.partitionBy("question")) * 100)
+    return top.withColumn("weight", power / F.max(power).over(Window.partitionBy(*group)) * 100)
 
 
-def term_style(table: DataFrame, settings: TermSettings = TermSettings()) -> DataFrame:
+def term_tables_by_cluster(df: DataFrame, settings: TermSettings = TermSettings()) -> DataFrame:
+    """Styled term tables of the clusters of each question."""
+    return term_style(term_table(df, settings, ("cluster",)), settings, ("cluster",))
+
+
+def term_style(table: DataFrame, settings: TermSettings = TermSettings(), by: tuple[str, ...] = ()) -> DataFrame:
     """Add `angle` and `color` to a term table.
 
     The last round(n * rotate_ratio) ranks are upright; the palette is cycled over the terms
     in alphabetical order.
     """
-    per_question = Window.partitionBy("question")
+    per_question = Window.partitionBy("question", *by)
     upright = F.bround(F.count("*").over(per_question) * F.lit(settings.rotate_ratio))
     angle = F.when(F.col("rank") > F.count("*").over(per_question) - upright, 90).otherwise(0)
     if settings.color == "random-dark":

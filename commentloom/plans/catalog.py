@@ -13,6 +13,7 @@ from commentloom.operators import (
     density,
     enrich,
     labels,
+    layout as plane,
     neighbours,
     reshape,
     silhouette as sil,
@@ -30,7 +31,6 @@ HASH_DIM = 64
 NEIGHBOURS = 5
 CLUSTERING = ClusteringSettings()
 TERMS = TermSettings()
-# The shared vectors seen as scores of 64 dimensions need no reduction.
 
 
 def _plain(df: DataFrame) -> DataFrame:
@@ -249,6 +249,10 @@ def cluster_summary(spark, folder):
     return labels.cluster_summary(named, methods)
 
 
+def layout(spark, folder):
+    return plane.layout(_vectors(spark, folder), CLUSTERING)
+
+
 # ---- labels and terms ---------------------------------------------------
 
 
@@ -302,7 +306,7 @@ QUERIES: dict[str, Query] = {
         detect_language, translate_glossary, translated_wide, store_missing,
         embed_hash, embedding_summary, parse_predictions,
         valid_vectors, standardise, pca_scores, knn, core_distance, mutual_reachability,
-        spanning_tree, hdbscan, only_noise, silhouette, kmeans_best_k, clusters, cluster_summary,
+        spanning_tree, hdbscan, only_noise, silhouette, kmeans_best_k, clusters, cluster_summary, layout,
         cluster_tf_idf, cluster_keywords, cluster_labels, cluster_assignments,
         sanitised_text, term_table, term_style, term_audit,
     )
