@@ -28,9 +28,9 @@ class TranslationSettings:
 
 @dataclass(frozen=True)
 class EmbeddingSettings:
-    model_id: str = "text-embedding-004"
+    """Model name and time-out belong to the provider that is plugged in."""
+
     batch_size: int = 128
-    timeout_secs: int = 60
     expected_dim: int = 768
 
 

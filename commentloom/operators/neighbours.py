@@ -64,11 +64,11 @@ def build_blocks(df: DataFrame, block_rows: int = 2048, max_pivots: int = 256) -
 
     wanted = {q: min(max_pivots, -(-n // block_rows)) for q, n in counts.items()}
     by_hash = Window.partitionBy("question").orderBy(F.xxhash64("response_id"), "response_id")
-    sample = (
-        df.select("question", "response_id", "embedding", F.row_number().over(by_hash).alias("_r"))
-        .where(F.col("_r") <= max(wanted.values()))
-        .collect()
+    # The ids are picked first: at most `max_pivots` rows per question meet the vectors.
+    picked = df.select("question", "response_id", F.row_number().over(by_hash).alias("_r")).where(
+        F.col("_r") <= max(wanted.values())
     )
+    sample = df.join(F.broadcast(picked), ["question", "response_id"]).orderBy("question", "_r").collect()
     found: dict[str, list] = {}
     for row in sample:
         if row["_r"] <= wanted[row["question"]]:

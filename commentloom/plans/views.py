@@ -25,12 +25,14 @@ def survey(spark: SparkSession, folder: str) -> DataFrame:
 
     Line i of a page answers question i; absent lines are null.
     """
-    lines = F.split("text", "\n", -1)
+    # Split once, below the generator, and not again for every page.
+    documents = read(spark, folder, "documents").select("doc_id", "lang", F.split("text", "\n", -1).alias("lines"))
+    lines = F.col("lines")
     pages = F.transform(
-        F.sequence(F.lit(0), ((F.size(lines) - 1) / PER_PAGE).cast("int")),
+        F.sequence(F.lit(0), F.expr(f"(size(lines) - 1) div {PER_PAGE}").cast("int")),
         lambda p: F.struct(p.alias("page"), F.slice(lines, p * PER_PAGE + 1, PER_PAGE).alias("answers")),
     )
-    rows = read(spark, folder, "documents").select("doc_id", "lang", F.inline(pages))
+    rows = documents.select("doc_id", "lang", F.inline(pages))
     return rows.select(
         F.concat_ws("-", "doc_id", "page").alias("response_id"),
         F.col("lang").alias("user_language"),

@@ -22,7 +22,7 @@ def missing(requests: DataFrame, stored: DataFrame, keys: list[str]) -> DataFram
 
 
 class ResultStore:
-    """Parquet table `request_key, provider, status, value` at `path`.
+    """Parquet table `request_key, provider, status, value` at `path`, a directory per provider.
 
     The key is a digest of the request's content, so changed text is a new
     request; the provider id keeps results of different models apart. Failed
@@ -49,14 +49,16 @@ class ResultStore:
             table = self.spark.createDataFrame([], self.schema)
         return table.where(F.col("provider") == self.provider)
 
-    def results(self) -> DataFrame:
-        """One row per key: a success if any run had one.
+    def results(self, requests: DataFrame) -> DataFrame:
+        """One row per stored key among `requests`: a success if any run had one.
 
         Concurrent runs may append the same key twice; the smallest value wins,
-        so that every reader sees the same one.
+        so that every reader sees the same one. The rest of the store is left out before
+        anything is aggregated.
         """
         ok = F.col("status") == OK
-        return self.load().groupBy("request_key").agg(
+        held = self.load().join(requests.select("request_key"), "request_key", "left_semi")
+        return held.groupBy("request_key").agg(
             F.when(F.max(ok), F.lit(OK)).otherwise(F.lit(FAILED)).alias("status"),
             F.min(F.when(ok, F.col("value"))).alias("value"),
         )
@@ -71,5 +73,5 @@ class ResultStore:
             fresh = compute(todo).select(
                 "request_key", F.lit(self.provider).alias("provider"), "status", "value"
             )
-            fresh.write.mode("append").parquet(self.path)
-        return self.results().join(requests.select("request_key"), "request_key", "left_semi")
+            fresh.write.mode("append").partitionBy("provider").parquet(self.path)
+        return self.results(requests)
