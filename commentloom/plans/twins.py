@@ -234,7 +234,7 @@ def _twins() -> dict[str, str]:
                      sum(CASE WHEN substr(h, 9, 1) < '8' THEN 1 ELSE -1 END) AS s
               FROM tokens GROUP BY ALL)
             SELECT doc_id, CAST(bucket AS INTEGER) AS bucket, round(value, 6) AS value
-            FROM (SELECT doc_id, bucket, s / sqrt(sum(s * s) OVER (PARTITION BY doc_id)) AS value FROM sums) WHERE value <> 0""",
+            FROM (SELECT doc_id, bucket, s / sqrt(sum(s * s) OVER (PARTITION BY doc_id)) AS value, s FROM sums) WHERE s <> 0""",
         "embedding_summary": f"""WITH {LONG} SELECT question, count(*) AS total_rows,
             count(*) FILTER (text <> '') AS valid_rows, {HASH_DIM} AS embedding_dim FROM long GROUP BY question""",
         "parse_predictions": f"""SELECT vec_id AS response_id, position, {HASH_DIM} AS width,
