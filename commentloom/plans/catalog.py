@@ -44,7 +44,9 @@ def _six(column: str) -> Column:
 
 def _elements(df: DataFrame, column: str = "embedding") -> DataFrame:
     keys = ["question", "response_id"]
-    return df.select(*keys, F.posexplode(column).alias("position", "value")).select(
+    # The outer form: for the inner one a filter is inferred that computes the array again.
+    rows = df.select(*keys, F.posexplode_outer(column).alias("position", "value"))
+    return rows.where(F.col("position").isNotNull()).select(
         *keys, (F.col("position") + 1).alias("position"), _six("value")
     )
 
@@ -148,7 +150,7 @@ def store_missing(spark, folder):
 
 def embed_hash(spark, folder):
     done = enrich.embed_hashed(views.texts(spark, folder), HASH_DIM)
-    rows = done.select("doc_id", F.posexplode("embedding").alias("bucket", "value"))
+    rows = done.select("doc_id", F.posexplode_outer("embedding").alias("bucket", "value"))
     return rows.where(F.col("value") != 0).select("doc_id", "bucket", _six("value"))
 
 
