@@ -22,6 +22,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -176,9 +177,7 @@ def encode(
 
     merged_schema = T.StructType([T.StructField("key", T.StringType()), *summary_schema])
 
-    def merge(key, frame):
-        import pandas as pd
-
+    def merge(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         bpe = load(path)
         frame = frame.sort_values("part")
         nodes = [
@@ -208,3 +207,12 @@ def digests(bpe: ByteBpe, ids: np.ndarray) -> tuple[int, str, str]:
 def round_trip(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text", part_chars: int = PART_CHARS) -> DataFrame:
     """Encodes and decodes every text: the id column and the three columns of `DIGESTS`."""
     return encode(docs, text, [id_column], path, digests, DIGESTS, part_chars)
+
+
+def encode_batch(bpe: ByteBpe, texts: list[str], part_chars: int = 1 << 20) -> list[np.ndarray]:
+    """Ids of each text; very long ones by parts, so that the arrays of a task stay bounded."""
+    found = bpe.encode([t if len(t) <= part_chars or bpe.has_special(t) else "" for t in texts])
+    for i, t in enumerate(texts):
+        if len(t) > part_chars and not bpe.has_special(t):
+            found[i] = concatenate(bpe, [Node.of(bpe, t[s : s + part_chars]) for s in range(0, len(t), part_chars)]).ids
+    return found

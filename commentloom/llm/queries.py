@@ -4,19 +4,56 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from commentloom.llm import bpe, codec
+from commentloom.llm import bpe, codec, edits, exact, packing, warc
+from commentloom.runtime import cut
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact.flags(table(spark, folder, "documents"))
+
+
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"))
+
+
+def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), bpe.default_path())
+
+
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Token counts of all documents before and after personal data is replaced in them."""
+    docs, path = table(spark, folder, "documents"), bpe.default_path()
+    kept = cut(edits.trees(docs, path))
+    return edits.recount(docs, kept, edits.redactions(docs), path)
+
+
 def op10_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return codec.round_trip(table(spark, folder, "documents"), bpe.default_path())
 
 
 QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op4_warc": op4_warc,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op9_token_counts": op9_token_counts,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
 
-TWINS: dict[str, str] = {}
+TWINS = {
+    "op1_exact_dedup": r"""
+        WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
+        SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+               doc_id IS NOT DISTINCT FROM min(doc_id) OVER g AS kept, h AS text_sha256
+        FROM d WINDOW g AS (PARTITION BY h)""",
+    "op4_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+        w AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS winner FROM p)
+        SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest,
+               CASE WHEN n >= 1000 AND page_id IS DISTINCT FROM winner THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id IS DISTINCT FROM winner THEN winner END AS refers_to
+        FROM w""",
+}
