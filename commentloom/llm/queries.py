@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from commentloom.llm import bpe, codec, edits, exact, packing, warc
+from commentloom.llm import bpe, codec, edits, exact, language, packing, simhash, warc
 from commentloom.runtime import cut
 
 
@@ -16,6 +16,10 @@ def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.flags(table(spark, folder, "documents"))
 
 
+def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
 def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages"))
 
@@ -24,6 +28,10 @@ def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), bpe.default_path())
 
 
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.predictions(table(spark, folder, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Token counts of all documents before and after personal data is replaced in them."""
     docs, path = table(spark, folder, "documents"), bpe.default_path()
@@ -37,8 +45,10 @@ def op10_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_simhash": op2_simhash,
     "op4_warc": op4_warc,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
