@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from commentloom.llm import bpe, codec, edits, exact, language, packing, simhash, warc
+from commentloom.llm import bpe, codec, edits, exact, language, packing, simhash, substrings, warc
 from commentloom.runtime import cut
 
 
@@ -20,6 +20,10 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.report(table(spark, folder, "documents"))
+
+
 def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages"))
 
@@ -46,6 +50,7 @@ def op10_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash": op2_simhash,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_warc": op4_warc,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_language_id": op8_language_id,
