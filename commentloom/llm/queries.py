@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from commentloom.llm import bpe, codec, edits, exact, language, packing, simhash, substrings, warc
+from commentloom.llm import bpe, codec, edits, exact, language, neighbours, packing, simhash, substrings, warc
 from commentloom.runtime import cut
 
 
@@ -28,6 +28,12 @@ def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages"))
 
 
+def op5_hilbert_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest rows of every twentieth vector."""
+    vectors = table(spark, folder, "embeddings")
+    return neighbours.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), bpe.default_path())
 
@@ -52,6 +58,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_warc": op4_warc,
+    "op5_hilbert_neighbours": op5_hilbert_neighbours,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
