@@ -208,3 +208,11 @@ def predictions(docs: DataFrame, **fitting) -> DataFrame:
     """Fits on `docs` and predicts all of them: doc_id, held_out, lang_pred, score."""
     found = identify(docs, fit(docs, **fitting), keep=["doc_id"])
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of `docs` whose text has a predicted language, with their own columns only."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names)
+    found = identify(rows, model, names[docs.columns.index(text)])
+    return found.where(F.col("lang_pred") != UNKNOWN).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])

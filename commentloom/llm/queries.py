@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from commentloom.llm import bpe, codec, edits, exact, language, neighbours, packing, simhash, substrings, warc
+from commentloom.llm import bpe, codec, edits, exact, language, neighbours, packing, scoring, simhash, substrings, warc
 from commentloom.runtime import cut
 
 
@@ -34,6 +34,10 @@ def op5_hilbert_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.search(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def op6_backoff_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return scoring.score(table(spark, folder, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), bpe.default_path())
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_warc": op4_warc,
     "op5_hilbert_neighbours": op5_hilbert_neighbours,
+    "op6_backoff_scores": op6_backoff_scores,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,

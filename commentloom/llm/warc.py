@@ -68,11 +68,12 @@ def archive(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> tuple[DataF
     held = cut(facts.groupBy("strong").agg(F.max("page_id").alias("winner")))
     revisit = (F.col("n") >= revisit_bytes) & ~F.col("page_id").eqNullSafe(F.col("winner"))
     headers = cut(facts.join(held, "strong").select(header(revisit).alias("header"), "strong", "n"))
-    holders = held.select(F.col("strong").alias("_strong"), "winner")
+    # Plain keys, so that the join's exchange also serves to drop repeated rows.
+    known = lambda c: F.coalesce(F.col(c), F.lit(-(1 << 63)).cast("long"))
     payloads = (
-        rows.select("page_id", "strong", "payload")
-        .join(holders, F.col("page_id").eqNullSafe(F.col("winner")) & (F.col("strong") == F.col("_strong")), "left_semi")
-        .dropDuplicates(["page_id", "strong"])
+        rows.select(known("page_id").alias("holder"), "strong", "payload")
+        .join(held.select(known("winner").alias("holder"), "strong"), ["holder", "strong"], "left_semi")
+        .dropDuplicates(["holder", "strong"])
         .select("strong", "payload")
     )
     return headers, cut(payloads)
