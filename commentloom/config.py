@@ -38,6 +38,8 @@ class EmbeddingSettings:
 class RetrySettings:
     max_attempts: int = 3
     wait: float = 2.0
+    # Calls that may run at the same time.
+    max_parallel_calls: int = 64
 
 
 @dataclass(frozen=True)
@@ -49,6 +51,10 @@ class ClusteringSettings:
     n_start: int = 10
     seed: int = 42
     n_neighbors: int = 15
+    # Epochs of the layout at most; it ends before when no point moves any more.
+    layout_epochs: int = 200
+    # Questions (or their translated columns) that get vectors; all if empty.
+    embedding_columns: tuple[str, ...] = ()
     # Rows handled by one task of a distance job, and pivots per question.
     block_rows: int = 2048
     max_pivots: int = 256

@@ -21,11 +21,12 @@ from commentloom.runtime import cut
 # Curve 1 / (1 + a d^2b) fitted for spread 1 and minimum distance 0.1.
 CURVE_A, CURVE_B = 1.577, 0.895
 REPELLERS = 5
-EPOCHS = 12
+# Largest step, as a share of the layout's width, at which it counts as at rest.
+REST = 1e-4
 STEP_LIMIT = 4.0
 
 
-def layout(df: DataFrame, settings: ClusteringSettings = ClusteringSettings(), epochs: int = EPOCHS) -> DataFrame:
+def layout(df: DataFrame, settings: ClusteringSettings = ClusteringSettings(), epochs: int | None = None) -> DataFrame:
     """`question, response_id, x, y` of vectors `question, response_id, embedding`."""
     rows = cut(enough_docs(valid_vectors(df), settings.min_docs).select("question", "response_id", "embedding"))
     scores = cut(reduce_dimensions(rows, settings.pca_dims))
@@ -88,8 +89,12 @@ def _weights(distance: np.ndarray, n_neighbors: int) -> list[float]:
     return np.exp(-gap / max(scale, 1e-12)).tolist()
 
 
-def embed_plane(scores: DataFrame, settings: ClusteringSettings, epochs: int = EPOCHS) -> DataFrame:
-    """Coordinates from materialised scores; starts at the first two scores."""
+def embed_plane(scores: DataFrame, settings: ClusteringSettings, epochs: int | None = None) -> DataFrame:
+    """Coordinates from materialised scores; starts at the first two scores.
+
+    Runs `epochs` epochs (`layout_epochs` if None) with a falling rate, or until no point moves.
+    """
+    epochs = settings.layout_epochs if epochs is None else epochs
     near = knn(scores, settings.n_neighbors, settings.block_rows, settings.max_pivots)
     edges = cut(neighbour_weights(near, settings.n_neighbors))
     first = F.get("embedding", F.lit(0))
@@ -104,9 +109,20 @@ def embed_plane(scores: DataFrame, settings: ClusteringSettings, epochs: int = E
     for epoch in range(epochs):
         rate = 1.0 - epoch / epochs
         at = cut(_epoch(at, edges, rate, settings.seed + epoch))
+        # Coordinates start within ten units of the middle.
+        step = at.agg(F.max(F.greatest(F.abs("_dx"), F.abs("_dy")))).first()[0]
+        at = at.drop("_dx", "_dy")
+        if step is None or step < REST * 20:
+            break
     return at
 
 
+def labelled(points: DataFrame, assigned: DataFrame) -> DataFrame:
+    """Points with `cluster` and `label` of the cluster tables; null for rows without a cluster."""
+    names = assigned.select("question", "response_id", "cluster", F.col("cluster_label").alias("label"))
+    return points.join(names, ["question", "response_id"], "left")
+
+
 def _epoch(at: DataFrame, edges: DataFrame, rate: float, seed: int) -> DataFrame:
     ends = at.select("question", F.col("response_id").alias("neighbour_id"), F.col("x").alias("_x"), F.col("y").alias("_y"))
     pulled = edges.join(at, ["question", "response_id"]).join(ends, ["question", "neighbour_id"])
@@ -128,11 +144,14 @@ def _epoch(at: DataFrame, edges: DataFrame, rate: float, seed: int) -> DataFrame
     moves = attraction.unionByName(repulsion).groupBy("question", "response_id").agg(
         F.sum("fx").alias("fx"), F.sum("fy").alias("fy")
     )
+    step_x, step_y = (rate * _held(F.coalesce(f, F.lit(0.0))) for f in ("fx", "fy"))
     return at.join(moves, ["question", "response_id"], "left").select(
         "question",
         "response_id",
-        (F.col("x") + rate * _held(F.coalesce("fx", F.lit(0.0)))).alias("x"),
-        (F.col("y") + rate * _held(F.coalesce("fy", F.lit(0.0)))).alias("y"),
+        (F.col("x") + step_x).alias("x"),
+        (F.col("y") + step_y).alias("y"),
+        step_x.alias("_dx"),
+        step_y.alias("_dy"),
     )
 
 

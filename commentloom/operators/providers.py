@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import logging
 import time
 from collections.abc import Callable, Iterator
@@ -15,13 +16,16 @@ from commentloom.sources.store import FAILED, OK
 
 log = logging.getLogger(__name__)
 
+DEFAULT_TARGET = "en"
+
 
 class BatchProvider(Protocol):
     """A picklable service client.
 
     `provider_id` names the model; results of different ids never mix.
     Calling it with texts of one language returns one value per text, null for
-    a text without a result.
+    a text without a result. A translator into other languages than English has one more
+    parameter, `target`.
     """
 
     provider_id: str
@@ -53,20 +57,28 @@ def run_batches(
     value_type: str,
     retry: RetrySettings = RetrySettings(),
     sleep: Callable[[float], None] = time.sleep,
+    target: str | None = None,
 ) -> DataFrame:
-    """`request_key, status, value` for requests `request_key, text[, lang]`.
+    """`request_key, status, value` for materialised requests `request_key, text[, lang]`.
 
-    Requests are spread by key, so no language makes a hot task. Inside a
-    task, texts of one language gather to full batches; a batch that fails after its
+    Requests are spread by key over as many tasks as there are batches, up to
+    `max_parallel_calls`; the explicit number is kept by adaptive execution. No language
+    makes a hot task, and each leaves at most one part-filled batch per task. Inside a task, texts of one language gather to full batches; a batch that fails after its
     retries yields null values and leaves the other batches alone.
     """
     has_lang = "lang" in requests.columns
+    more = {} if target is None else {"target": target}
+    if more and "target" not in inspect.signature(provider).parameters:
+        if target != DEFAULT_TARGET:
+            raise ValueError(f"the translator {provider.provider_id} has no target language to set to {target!r}")
+        more = {}
+    tasks = max(1, min(retry.max_parallel_calls, -(-requests.count() // batch_size)))
 
     def call(lang: str | None, held: list[tuple[str, str]]) -> pd.DataFrame:
         texts = [text for _, text in held]
         try:
             values = with_retry(
-                lambda: provider(texts, lang), retry.max_attempts, retry.wait, sleep
+                lambda: provider(texts, lang, **more), retry.max_attempts, retry.wait, sleep
             )
             if len(values) != len(texts):
                 raise ValueError(f"{len(values)} results for {len(texts)} texts")
@@ -93,6 +105,6 @@ def run_batches(
         for lang, held in waiting.items():
             yield call(lang, held)
 
-    return requests.repartition("request_key").mapInPandas(
+    return requests.repartition(tasks, "request_key").mapInPandas(
         run, f"request_key string, status string, value {value_type}"
     )

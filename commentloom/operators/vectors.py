@@ -10,13 +10,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
-# Tasks that add up numbers, and partial sums that one task merges at a time.
-SUM_TASKS = 4096
+from commentloom.runtime import cut
+
+# Partial sums that one task merges at a time.
 FAN_IN = 16
 
 
@@ -101,30 +103,60 @@ def reduce_dimensions(df: DataFrame, dims: int = 50) -> DataFrame:
 
     The fitted weights (dims x width numbers per question) travel to the tasks.
     """
-    z = standardise(df)
+    z = cut(standardise(df))
     fitted = principal_components(z, dims).orderBy("question", "component").collect()
     weights: dict[str, list] = {}
     for row in fitted:
         weights.setdefault(row["question"], []).append(row["weights"])
     axes = {q: np.asarray(w).T for q, w in weights.items()}
 
-    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = batch["embedding"].copy()
-            for q, at in batch.groupby("question").indices.items():
-                scores = np.vstack(batch["embedding"].to_numpy()[at]) @ axes[q]
-                for i, row in zip(at, scores):
-                    out.iat[i] = row
-            yield batch.assign(embedding=out)
+            at, parts = [], []
+            for q, rows in _by_question(batch):
+                vectors = batch.column("embedding").take(rows)
+                scores = weighted(vectors.flatten().to_numpy().reshape(len(rows), -1), axes[q])
+                at.append(rows.to_numpy())
+                parts.append(listed(scores, batch.schema.field("embedding").type))
+            if parts:
+                back = pa.array(np.argsort(np.concatenate(at)))
+                column = pa.concat_arrays(parts).take(back)
+                yield batch.set_column(batch.schema.get_field_index("embedding"), batch.schema.field("embedding"), column)
+
+    return z.mapInArrow(project, z.schema)
+
+
+def _by_question(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.Array]]:
+    """Each question of a batch with the places of its rows."""
+    questions = batch.column("question").to_pandas()
+    for q, at in questions.groupby(questions).indices.items():
+        yield q, pa.array(at)
+
+
+def weighted(x: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """`x @ axes`, summed in the order of the components.
+
+    A matrix product may add in another order for another number of rows; here equal
+    vectors have equal scores in whatever batch they come.
+    """
+    scores = np.zeros((len(x), axes.shape[1]))
+    for component, weights in zip(x.T, axes):
+        scores += component[:, None] * weights
+    return scores
+
 
-    return z.mapInPandas(project, z.schema)
+def listed(rows: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    """A list array with the rows of a matrix."""
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.ravel()), type=kind)
 
 
 def summed(df: DataFrame, numbers: Callable[[str, np.ndarray], np.ndarray]) -> DataFrame:
     """`question, totals`: summed `numbers(question, matrix)` over the vectors of a question.
 
     Each task adds up its own rows; a tree of tasks with 16 inputs each merges
-    the partial sums, so that no task holds the sums of all others.
+    the partial sums, so that no task holds the sums of all others. `df` should be
+    materialised: its number of tasks is asked for, which would run the exchanges of a longer plan.
     """
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,10 +176,9 @@ def summed(df: DataFrame, numbers: Callable[[str, np.ndarray], np.ndarray]) -> D
         return rows.iloc[:1].assign(totals=[total])
 
     schema = "question string, slot int, totals array<double>"
-    spread = df.coalesce(SUM_TASKS)
-    sums = spread.mapInPandas(add, schema)
+    sums = df.mapInPandas(add, schema)
     # As many merge steps as the number of tasks needs: none for one task.
-    inputs = spread.rdd.getNumPartitions()
+    inputs = df.rdd.getNumPartitions()
     while inputs > 1:
         inputs = -(-inputs // FAN_IN)
         sums = (

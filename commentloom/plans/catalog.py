@@ -12,6 +12,7 @@ from commentloom.operators import (
     cluster,
     density,
     enrich,
+    kmeans,
     labels,
     layout as plane,
     neighbours,
@@ -29,6 +30,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 HASH_DIM = 64
 NEIGHBOURS = 5
+SMALL_BLOCK, SMALL_PASS = 16, 4
 CLUSTERING = ClusteringSettings()
 TERMS = TermSettings()
 
@@ -196,6 +198,31 @@ def pca_scores(spark, folder):
     return _elements(vec.reduce_dimensions(cut(_vectors(spark, folder)), CLUSTERING.pca_dims))
 
 
+def enough_vectors(spark, folder):
+    """Valid vectors per question, where some vectors are gaps and one question is too small."""
+    rows = vec.enough_docs(vec.valid_vectors(views.gapped_vectors(spark, folder)), CLUSTERING.min_docs)
+    return rows.groupBy("question").agg(F.count("*").alias("valid_rows"))
+
+
+def pca_gram(spark, folder):
+    """Inner products of full-rank scores, which are those of the standardised vectors."""
+    scores = cut(vec.reduce_dimensions(cut(_vectors(spark, folder)), HASH_DIM).select("question", "response_id", "embedding"))
+    first = scores.groupBy("question").agg(F.min_by("embedding", "response_id").alias("first"))
+
+    def product(other: str) -> Column:
+        pairs = F.zip_with("embedding", other, lambda x, y: x * y)
+        return F.round(F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x), 5)
+
+    return scores.join(first, "question").select(
+        "question", "response_id", product("embedding").alias("squared"), product("first").alias("with_first")
+    )
+
+
+def knn_blocked(spark, folder):
+    near = neighbours.knn(_vectors(spark, folder), NEIGHBOURS, SMALL_BLOCK)
+    return near.select("question", "response_id", "rank", "neighbour_id", _six("distance"))
+
+
 def knn(spark, folder):
     near = neighbours.knn(_vectors(spark, folder), NEIGHBOURS)
     return near.select("question", "response_id", "rank", "neighbour_id", _six("distance"))
@@ -232,6 +259,18 @@ def silhouette(spark, folder):
     return sil.silhouette(_vectors(spark, folder), CLUSTERING.block_rows).select("question", _six("silhouette"))
 
 
+def silhouette_blocked(spark, folder):
+    scores = sil.silhouette(_vectors(spark, folder), SMALL_BLOCK, SMALL_PASS)
+    return scores.select("question", _six("silhouette"))
+
+
+def kmeans_pass(spark, folder):
+    """One pass from the first three vectors of each question."""
+    rows = cut(_vectors(spark, folder).select("question", "response_id", "embedding"))
+    sums = kmeans.first_pass(rows, 3)
+    return sums.select("question", "cluster", "n", F.round("cost", 5).alias("cost"))
+
+
 def kmeans_best_k(spark, folder):
     rows = cut(_vectors(spark, folder).select("question", "response_id", "embedding"))
     _, best = cluster.choose_k(rows, CLUSTERING)
@@ -252,7 +291,8 @@ def cluster_summary(spark, folder):
 
 
 def layout(spark, folder):
-    return plane.layout(_vectors(spark, folder), CLUSTERING)
+    """Twelve epochs; the default runs until the points rest."""
+    return plane.layout(_vectors(spark, folder), CLUSTERING, epochs=12)
 
 
 # ---- labels and terms ---------------------------------------------------
@@ -307,7 +347,7 @@ QUERIES: dict[str, Query] = {
         survey_long, comments_long, question_filter, distinct_texts, row_ids, turns_union,
         detect_language, translate_glossary, translated_wide, store_missing,
         embed_hash, embedding_summary, parse_predictions,
-        valid_vectors, standardise, pca_scores, knn, core_distance, mutual_reachability,
+        valid_vectors, enough_vectors, standardise, pca_scores, pca_gram, knn, knn_blocked, silhouette_blocked, kmeans_pass, core_distance, mutual_reachability,
         spanning_tree, hdbscan, only_noise, silhouette, kmeans_best_k, clusters, cluster_summary, layout,
         cluster_tf_idf, cluster_keywords, cluster_labels, cluster_assignments,
         sanitised_text, term_table, term_style, term_audit,

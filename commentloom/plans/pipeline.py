@@ -35,12 +35,12 @@ class Services:
 
 
 def load(spark: SparkSession, path: str, settings: Settings = Settings(), encoding: str | None = None) -> DataFrame:
-    """The survey export at `path`, in its own charset unless one is given."""
+    """The survey exports at `path`, each file in its own charset unless one is given for all."""
+    label_rows = settings.input.label_rows if settings.input.drop_label_rows else 0
     if encoding is None:
-        encoding = source.detect_charsets(spark, path).orderBy("path").first()["encoding"]
-    raw = source.read_survey(spark, path, settings.input.comment_cols, encoding)
-    if settings.input.drop_label_rows:
-        raw = source.drop_label_rows(raw, settings.input.label_rows)
+        raw = source.read_files(spark, path, settings.input.comment_cols, label_rows)
+    else:
+        raw = source.read_survey(spark, path, settings.input.comment_cols, encoding, label_rows)
     return raw.withColumnsRenamed({"ResponseId": "response_id", "UserLanguage": "user_language"})
 
 
@@ -71,18 +71,23 @@ def translate(clean: DataFrame, settings: Settings = Settings(), services: Servi
     if services.translator:
         store = services.store(spark, "translations", services.translator, StringType())
         done = enrich.translate_with(
-            cut(sourced), services.translator, store, settings.translation.batch_size, retry=settings.retry
+            cut(sourced), services.translator, store, settings.translation.batch_size, retry=settings.retry,
+            target=settings.translation.target,
         )
     else:
         done = enrich.translate_glossary(sourced)
-    wide = cut(reshape.blank_nulls(reshape.drop_untranslated(reshape.to_wide(done, questions))))
-    log.info("Rows to process: %s", rows.get["rows"])
+    final = Observation("responses")
+    wide = reshape.blank_nulls(reshape.drop_untranslated(reshape.to_wide(done, questions)))
+    wide = cut(wide.observe(final, F.count(F.lit(1)).alias("rows")))
+    log.info("Rows to process: %s; final rows: %s", rows.get["rows"], final.get["rows"])
     return wide
 
 
 def embed(translated: DataFrame, settings: Settings = Settings(), services: Services = Services()) -> DataFrame:
     """`question, response_id, row_id, text, embedding`, a row per response and question."""
     columns = validate.columns_like(translated)
+    if chosen := settings.clustering.embedding_columns:
+        columns = [c for c in columns if c in chosen or c.removesuffix("_translated") in chosen]
     long = reshape.to_long(translated, columns).withColumn(
         "question", F.regexp_replace("question", "_translated$", "")
     )
@@ -140,7 +145,7 @@ def run(
     tables.export_per_question(assigned, f"{output}/clusters")
     tables.write_table(summary, f"{output}/cluster_summary")
     if with_layout:
-        points = layout.layout(embedded, settings.clustering)
+        points = layout.labelled(layout.layout(embedded, settings.clustering), assigned)
         tables.export_per_question(points, f"{output}/layout")
     held = tables.read_clusters(spark, f"{output}/clusters")
     if held is not None:

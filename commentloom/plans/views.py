@@ -8,16 +8,19 @@ from commentloom.config import DEFAULT_QUESTIONS
 from commentloom.operators.reshape import to_long
 
 PER_PAGE = len(DEFAULT_QUESTIONS)
+SPREAD_BYTES = 256 << 20
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """A shared table, spread over all cores when it has fewer splits than those.
+    """A shared table. One of a few splits and bounded size is spread over the cores.
 
-    Large tables have more splits than there are cores and are not shuffled.
+    Files of one row group cannot be split, so a small table would be read by one task; a table
+    beyond `SPREAD_BYTES` is never shuffled for it, whatever the number of cores.
     """
     df = spark.read.parquet(f"{folder}/{table}.parquet")
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if size < SPREAD_BYTES and df.rdd.getNumPartitions() < cores else df
 
 
 def survey(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,10 +69,24 @@ def vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents with the label of their vector as cluster; label 0 plays noise."""
+    """Documents with the label of their vector as cluster; label 0 plays noise.
+
+    Those without a vector take the last digit of their id.
+    """
     documents = read(spark, folder, "documents").select(F.col("doc_id").alias("response_id"), "text")
     labels = read(spark, folder, "embeddings").select(
         F.col("vec_id").alias("response_id"), F.col("label").alias("cluster")
     )
     question = F.concat(F.lit("Q4."), 2 + F.col("response_id") % 9)
-    return documents.join(labels, "response_id").withColumn("question", question)
+    known = F.coalesce("cluster", (F.col("response_id") % 10).cast("int"))
+    return documents.join(labels, "response_id", "left").withColumn("cluster", known).withColumn("question", question)
+
+
+def gapped_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Embeddings of which every seventh has null components only, with a question of two rows."""
+    gap = F.transform("embedding", lambda x: F.lit(None).cast("double"))
+    return vectors(spark, folder).select(
+        F.when(F.col("response_id") < 2, F.lit("Q4.1")).otherwise(F.col("question")).alias("question"),
+        "response_id",
+        F.when(F.col("response_id") % 7 == 3, gap).otherwise(F.col("embedding")).alias("embedding"),
+    )

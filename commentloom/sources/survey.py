@@ -1,10 +1,13 @@
-"""Reading survey exports: tab separated, quoted line breaks, any charset."""
+"""Reading survey exports: tab separated, quoted line breaks, any charset, any number of files."""
 
 from __future__ import annotations
 
 import codecs
+import csv
 import logging
+import unicodedata
 from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -35,15 +38,26 @@ def nulled(col: Column) -> Column:
 
 
 def _decoded(col: Column, encoding: str) -> Column:
-    """Remap the upper half of a single-byte charset read as ISO-8859-1."""
-    upper = bytes(range(0x80, 0x100))
+    """Text of `encoding` from cells that were read byte by byte as ISO-8859-1.
+
+    The upper half of a single-byte charset is remapped in the plan. Multi-byte charsets, whose
+    later bytes are never a tab, quote or line end, are decoded on Arrow batches.
+    """
     try:
-        target = "".join(bytes([b]).decode(encoding, errors="replace") for b in upper)
-        compatible = bytes(range(0x80)).decode(encoding) == bytes(range(0x80)).decode("ascii")
-    except (LookupError, UnicodeDecodeError) as problem:
+        kind = codecs.lookup(encoding).name
+    except LookupError as problem:
         raise ValueError(f"unknown charset {encoding!r}") from problem
-    if not compatible or codecs.lookup(encoding).name in _MULTI_BYTE:
-        raise ValueError(f"charset {encoding!r} is neither native to the reader nor single byte")
+    if kind in _MULTI_BYTE:
+
+        @F.pandas_udf(StringType())
+        def decode(cells: pd.Series) -> pd.Series:
+            return cells.map(lambda t: t.encode("latin-1").decode(kind, errors="replace"), na_action="ignore")
+
+        return decode(col)
+    upper = bytes(range(0x80, 0x100))
+    target = "".join(bytes([b]).decode(encoding, errors="replace") for b in upper)
+    if bytes(range(0x80)).decode(encoding, errors="replace") != bytes(range(0x80)).decode("ascii"):
+        raise ValueError(f"charset {encoding!r} does not hold ASCII")
     return F.translate(col, upper.decode("latin-1"), target)
 
 
@@ -55,10 +69,13 @@ def read_survey(
     path: str | list[str],
     questions: Sequence[str] = DEFAULT_QUESTIONS,
     encoding: str = "UTF-8",
+    label_rows: int = 0,
 ) -> DataFrame:
     """Survey export as strings, chosen columns only; a missing column is an error.
 
-    Columns are found by header name, so exports may carry other columns.
+    Columns are found by header name, so exports may carry other columns. Several files must have
+    one charset and one header; `read_files` takes any. The first `label_rows` rows of each file
+    that has as many are left out.
     """
     native = encoding.lower() in NATIVE_CHARSETS
     reader = spark.read.options(
@@ -68,6 +85,12 @@ def read_survey(
     raw = reader.csv(path)
     wanted = [name(c) for c in (*ID_COLUMNS, *questions)]
     chosen = raw.select(*wanted)
+    if label_rows:
+        # A file is read by one task, so its rows have consecutive numbers.
+        placed = raw.select(*wanted, F.col("_metadata.file_path").alias("_file")).withColumn("_row", F.monotonically_increasing_id())
+        firsts = placed.groupBy("_file").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+        label = (F.col("_row") - F.col("_first") < label_rows) & (F.col("_n") >= label_rows)
+        chosen = placed.join(firsts, "_file").where(~label).select(*wanted)
     return chosen.select(
         *[
             nulled(name(c) if native else _decoded(name(c), encoding)).alias(c)
@@ -100,29 +123,67 @@ def read_or_empty(spark: SparkSession, path: str, schema: StructType, fmt: str =
         return spark.createDataFrame([], schema)
 
 
-def detect_charsets(spark: SparkSession, path: str) -> DataFrame:
-    """`path, encoding, confidence`: the likeliest charset of each file.
+def read_files(
+    spark: SparkSession, path: str | list[str], questions: Sequence[str] = DEFAULT_QUESTIONS, label_rows: int = 0
+) -> DataFrame:
+    """Survey exports of any number of files, each in its own charset and column order.
 
-    The vote looks at the first 10,000 bytes of every file, files in parallel.
+    Files that agree in both are read as one scan. The first `label_rows` rows of each file
+    that has as many are left out.
     """
-    heads = spark.read.format("binaryFile").load(path).select(
-        "path", F.substring("content", 1, SAMPLE_BYTES).alias("head")
+    found = file_heads(spark, path).orderBy("path").collect()  # one row per file
+    groups: dict[tuple, list[str]] = {}
+    for r in found:
+        groups.setdefault((r["encoding"], tuple(r["header"])), []).append(r["path"])
+    if not groups:
+        raise FileNotFoundError(f"no survey file at {path}")
+    scans = []
+    for (encoding, _), files in groups.items():
+        scans.append(read_survey(spark, files, questions, encoding, label_rows))
+    return reduce(DataFrame.unionByName, scans)
+
+
+def file_heads(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """`path, encoding, confidence, header` of each file, from its first 10,000 bytes."""
+
+    def inspect(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        head = bytes(frame["head"].iloc[0])
+        confidence, encoding = max((c, e) for e, c in _candidates(head))
+        first = next(csv.reader(codecs.decode(head, encoding, "ignore").lstrip("\ufeff").splitlines(True), delimiter="\t"), [])
+        return pd.DataFrame([(key[0], encoding, confidence, first)], columns=["path", "encoding", "confidence", "header"])
+
+    return _heads(spark, path).groupBy("path").applyInPandas(
+        inspect, "path string, encoding string, confidence int, header array<string>"
     )
-    votes = heads.mapInPandas(_vote, "path string, encoding string, confidence int")
-    best = F.struct(F.col("confidence"), F.col("encoding"))
-    return votes.groupBy("path").agg(F.max(best).alias("b")).select(
-        "path", F.col("b.encoding").alias("encoding"), F.col("b.confidence").alias("confidence")
+
+
+def _heads(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """`path, head`: the first bytes of each file. Lines are streamed, never whole files held."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("at"),
+        F.col("value").cast("binary").alias("line"),
     )
 
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, bytearray] = {}
+        for batch in batches:
+            for file, line in zip(batch["path"], batch["line"]):
+                head = held.setdefault(file, bytearray())
+                if len(head) < SAMPLE_BYTES:
+                    head += bytes(line)[:SAMPLE_BYTES] + b"\n"
+        yield pd.DataFrame({"path": list(held), "head": [bytes(h[:SAMPLE_BYTES]) for h in held.values()]})
 
-def _vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = [
-            (path, encoding, confidence)
-            for path, head in zip(batch["path"], batch["head"])
-            for encoding, confidence in _candidates(bytes(head))
-        ]
-        yield pd.DataFrame(rows, columns=["path", "encoding", "confidence"])
+    # Lines of a file's first block are in one task, in order.
+    return lines.where("at = 0").select("path", "line").mapInPandas(first, "path string, head binary")
+
+
+def detect_charsets(spark: SparkSession, path: str) -> DataFrame:
+    """`path, encoding, confidence`: the likeliest charset of each file.
+
+    The vote looks at the first 10,000 bytes of every file, files in parallel.
+    """
+    return file_heads(spark, path).drop("header")
 
 
 def _candidates(head: bytes) -> Iterable[tuple[str, int]]:
@@ -133,16 +194,89 @@ def _candidates(head: bytes) -> Iterable[tuple[str, int]]:
     for mark, encoding in marks:
         if head.startswith(mark):
             return [(encoding, 100)]
-    high = sum(b >= 0x80 for b in head)
-    controls = sum(0x80 <= b < 0xA0 for b in head)
-    votes = [("ISO-8859-1", 30 if controls == 0 else 5), ("windows-1252", 25 if controls else 20)]
     try:
         # Not final: the sample may end inside a character.
         codecs.getincrementaldecoder("utf-8")().decode(head)
-        votes.append(("UTF-8", 100 if high else 90))
+        return [("UTF-8", 100 if any(b >= 0x80 for b in head) else 90), *_wide(head)]
     except UnicodeDecodeError:
         pass
-    for encoding, zeros in (("UTF-16LE", head[1::2]), ("UTF-16BE", head[::2])):
-        if zeros and zeros.count(0) * 2 > len(zeros):
-            votes.append((encoding, 95))
-    return votes
+    votes = [(encoding, round(80 * _plausible(head, encoding)) - rank) for rank, encoding in enumerate(CHARSETS)]
+    return [*votes, *_wide(head)]
+
+
+def _wide(head: bytes) -> list[tuple[str, int]]:
+    return [
+        (encoding, 101)
+        for encoding, zeros in (("UTF-16LE", head[1::2]), ("UTF-16BE", head[::2]))
+        if zeros and zeros.count(0) * 2 > len(zeros)
+    ]
+
+
+# Tried in this order; the earlier one wins where two are as plausible.
+CHARSETS = (
+    "ISO-8859-1", "windows-1252", "windows-1254", "windows-1250", "windows-1251", "koi8-r", "windows-1253",
+    "shift_jis", "euc_jp", "euc_kr", "gb18030", "big5",
+)
+# Letters and signs that hardly stand in running text, if a charset has them at the places of others.
+SELDOM = set("ðþýţÐÞÝŢ¹³¿¾¼½¶§¤¦¨¬¯±²´µ¸¥£ª¡")
+SIGNS = set("–—‘’“”„…€«»°·©®™  ")
+
+
+def _plausible(head: bytes, encoding: str) -> float:
+    """Share of the non-ASCII characters that stand as they would in text, 0 to 1.
+
+    Letters count if their word keeps to one script and one pattern of cases, and, in Latin
+    script, is not mostly accents; East Asian characters count if they are common ones.
+    """
+    text = codecs.getincrementaldecoder(encoding)("replace").decode(head)
+    good = total = 0.0
+    if encoding in ("shift_jis", "euc_jp") and not any(_script(c) == "HIRAGANA" for c in text):
+        return 0.5  # Japanese is hardly written without
+    for word in text.split():
+        marked = [c for c in word if ord(c) >= 0x80]
+        if not marked:
+            continue
+        letters = [c for c in word if c.isalpha()]
+        scripts = {_script(c) for c in letters}
+        cased = "".join(c for c in letters if c.lower() != c.upper())
+        regular = cased in (cased.lower(), cased.upper(), cased.capitalize())
+        latin = scripts == {"LATIN"}
+        mostly_accents = latin and len(letters) >= 3 and sum(ord(c) >= 0x80 for c in letters) * 2 > len(letters)
+        for c in marked:
+            total += 1
+            if c == "\ufffd" or "\x80" <= c < "\xa0":
+                good -= 1
+            elif not c.isalpha():
+                good += 1.0 if c in SIGNS or unicodedata.name(c, "").startswith(("IDEOGRAPHIC", "FULLWIDTH")) else 0.0
+            elif _script(c) in ("CJK", "HIRAGANA", "KATAKANA", "HANGUL"):
+                good += 1.0 if _common(c) and not {"HANGUL", "CJK"} <= scripts else 0.3
+            elif c in SELDOM or len(scripts - {"CJK", "HIRAGANA", "KATAKANA"}) > 1 or not regular or mostly_accents:
+                good += 0.2
+            else:
+                good += 1.0
+    return max(0.0, good / total) if total else 0.0
+
+
+def _script(c: str) -> str:
+    return unicodedata.name(c, "?").split(" ")[0].split("-")[0]
+
+
+def _common(c: str) -> bool:
+    """Whether an East Asian character is a usual one: kana, Hangul, or in both older standards."""
+    if _script(c) in ("HIRAGANA", "KATAKANA"):
+        return not unicodedata.name(c).startswith("HALFWIDTH")
+    try:
+        if _script(c) == "HANGUL":
+            return bool(c.encode("euc_kr"))
+        # First levels of the national sets, which are ordered by use.
+        lead = [c.encode(e)[0] for e, low, high in (("gb2312", 0xB0, 0xD7), ("euc_jp", 0xB0, 0xCF)) if _held(c, e, low, high)]
+        return bool(lead) or _held(c, "big5", 0xA4, 0xC6)
+    except UnicodeEncodeError:
+        return False
+
+
+def _held(c: str, encoding: str, low: int, high: int) -> bool:
+    try:
+        return low <= c.encode(encoding)[0] <= high
+    except UnicodeEncodeError:
+        return False

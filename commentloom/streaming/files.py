@@ -14,10 +14,10 @@ from commentloom.sources.survey import ID_COLUMNS, nulled, survey_schema
 
 
 def survey_stream(spark: SparkSession, folder: str, questions: Sequence[str]) -> DataFrame:
-    """New tab-separated exports in `folder`; columns in the order of the survey schema."""
+    """New tab-separated exports in `folder`; columns in the order of the survey schema, else it fails."""
     raw = (
         spark.readStream.schema(survey_schema(questions))
-        .options(sep="\t", header=True, multiLine=True, quote='"', escape='"')
+        .options(sep="\t", header=True, multiLine=True, quote='"', escape='"', enforceSchema=False)
         .csv(folder)
     )
     cells = raw.select(*[nulled(name(c)).alias(c) for c in (*ID_COLUMNS, *questions)])

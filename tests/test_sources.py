@@ -31,9 +31,49 @@ def test_charsets_are_read(spark, tmp_path, encoding):
     assert survey.read_survey(spark, path, ["Q4.2"], encoding).first()["Q4.2"] == text
 
 
-def test_multi_byte_charset_is_refused():
+def test_multi_byte_charset_is_decoded(spark, tmp_path):
+    path = write(tmp_path / "c.tsv", "ResponseId\tUserLanguage\tQ4.2\nr1\tja\tとても良いサービス\n", "shift_jis")
+    assert survey.read_survey(spark, path, ["Q4.2"], "shift_jis").first()["Q4.2"] == "とても良いサービス"
+
+
+def test_unknown_charset_is_refused():
     with pytest.raises(ValueError):
-        survey._decoded(F.lit("x"), "shift_jis")
+        survey._decoded(F.lit("x"), "no-such-charset")
+
+
+SAMPLES = {
+    "windows-1251": "Очень хорошее обслуживание, спасибо большое", "koi8-r": "Очень хорошее обслуживание, спасибо",
+    "windows-1253": "Πολύ καλή εξυπηρέτηση και καθαρά δωμάτια", "windows-1254": "Çok iyi hizmet, teşekkür ederim, ışık güzeldi",
+    "windows-1250": "Bardzo miła obsługa, pokój był czysty, dziękuję", "shift_jis": "とても良いサービスでした。ありがとうございます",
+    "euc_jp": "とても良いサービスでした。ありがとう", "gb18030": "服务很好，房间很干净，谢谢你们", "big5": "服務很好，房間很乾淨，謝謝你們",
+    "euc_kr": "서비스가 아주 좋았고 방이 깨끗했습니다", "ISO-8859-1": "La stanza era pulita però un po' rumorosa, così così",
+    "windows-1252": "Das Zimmer war schön – nur 5 € für Frühstück",
+}
+
+
+@pytest.mark.parametrize("encoding", list(SAMPLES))
+def test_each_file_in_its_own_charset(encoding):
+    votes = list(survey._candidates(SAMPLES[encoding].encode(encoding)))
+    best = max(votes, key=lambda v: (v[1], v[0]))[0]
+    assert SAMPLES[encoding].encode(encoding).decode(best) == SAMPLES[encoding]
+
+
+def test_folder_of_files(spark, tmp_path):
+    """Charset, column order and label rows are those of each file."""
+    labels = "l1\tx\tx\tx\nl2\tx\tx\tx\n"
+    (tmp_path / "in").mkdir()
+    for i, encoding in enumerate(["utf-8", "windows-1251", "shift_jis", "windows-1252"]):
+        text = {"windows-1251": SAMPLES["windows-1251"], "shift_jis": SAMPLES["shift_jis"]}.get(encoding, SAMPLES["windows-1252"])
+        columns = ["Q4.2", "Q4.3"] if i % 2 else ["Q4.3", "Q4.2"]
+        cells = {"Q4.2": text, "Q4.3": f"third {i}"}
+        body = "\t".join(["ResponseId", "UserLanguage", *columns]) + "\n" + labels + "\t".join([f"r{i}", "xx", *(cells[c] for c in columns)]) + "\n"
+        write(tmp_path / "in" / f"{i}.tsv", body, encoding)
+    rows = survey.read_files(spark, str(tmp_path / "in"), ["Q4.2", "Q4.3"], label_rows=2).collect()
+    found = {r["ResponseId"]: (r["Q4.2"], r["Q4.3"]) for r in rows}
+    assert found == {
+        "r0": (SAMPLES["windows-1252"], "third 0"), "r1": (SAMPLES["windows-1251"], "third 1"),
+        "r2": (SAMPLES["shift_jis"], "third 2"), "r3": (SAMPLES["windows-1252"], "third 3"),
+    }
 
 
 def test_charset_vote(spark, tmp_path):

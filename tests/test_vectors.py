@@ -216,3 +216,30 @@ def test_layout_keeps_neighbourhoods(spark):
     near = np.argsort(d, axis=1)[:, :5]
     same = (near < 25) == (np.arange(50)[:, None] < 25)
     assert np.isfinite(plane).all() and same.mean() > 0.95
+
+
+def small(spark, groups):
+    rows = [(f"q{g}", g * 1000 + i, [float(x) for x in v]) for g, vs in enumerate(groups) for i, v in enumerate(vs)]
+    return spark.createDataFrame(rows, "question string, response_id long, embedding array<double>")
+
+
+def test_copies_do_not_lose_a_question(spark):
+    """Twelve equal vectors admit no k; three distinct ones with four copies each have k = 3."""
+    three = [v for v in ([0, 0], [9, 0], [0, 9]) for _ in range(4)]
+    rows = small(spark, [[[1, 2]] * 12, three])
+    chosen, best = cluster.choose_k(rows, replace(SETTINGS, n_start=3))
+    assert chosen.count() == rows.count()
+    found = {r["question"]: (r["k"], r["silhouette"]) for r in best.collect()}
+    assert found["q0"] == (1, None) and found["q1"][0] == 3 and abs(found["q1"][1] - 1) < 1e-9
+    clusters, methods = cluster.cluster(rows, replace(SETTINGS, min_pts=5, n_start=3))
+    assert clusters.count() == rows.count() and methods.count() == 2
+
+
+def test_scores_of_copies_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(5, 24))
+    rows = small(spark, [[base[i % 5] for i in range(400)]])
+    seen = [
+        {tuple(r["embedding"]) for r in vectors.reduce_dimensions(rows.repartition(n), 4).collect()} for n in (1, 7, 37)
+    ]
+    assert [len(s) for s in seen] == [5, 5, 5]
