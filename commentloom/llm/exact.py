@@ -171,7 +171,10 @@ def winners(history: DataFrame, newcomers: DataFrame, bucket_slots: int = BUCKET
 
 
 def _keyed(docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    return docs.select("*", F.unhex(F.sha2(normalised(F.col(f"`{text}`")), 256)).alias("__digest"), F.col(f"`{id_column}`").alias("__id"))
+    """The columns of `docs` by number, with the digest and the id to go by."""
+    rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    value, identity = (F.col(f"c{docs.columns.index(c)}") for c in (text, id_column))
+    return rows.select("*", F.unhex(F.sha2(normalised(value), 256)).alias("__digest"), identity.alias("__id"))
 
 
 def _winners_of(keyed: DataFrame, bucket_slots: int) -> DataFrame:
@@ -206,6 +209,6 @@ def deduplicate(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     keyed = _keyed(docs, id_column, text)
     won = _winners_of(keyed, bucket_slots).select("digest", "keep_id", "same")
     kept = keyed.join(won, (F.col("__digest") == F.col("digest")) & F.col("__id").eqNullSafe(F.col("keep_id")))
-    own = [F.col(f"`{c}`") for c in docs.columns]
+    own = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
     repeated = kept.where("same > 1").dropDuplicates(["__digest"])
     return kept.where("same = 1").select(*own).unionByName(repeated.select(*own))
