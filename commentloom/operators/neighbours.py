@@ -249,6 +249,36 @@ def nearest_neighbours(blocks: Blocks, k: int) -> DataFrame:
     )
 
 
+def _nearest(x: np.ndarray, y: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest rows of `y` and their distances, without those marked `own`.
+
+    A matrix product screens; the few rows it leaves get exact distances. Where
+    its rounding could hide a nearer row, all distances of that row are computed.
+    """
+    squares_x, squares_y = (x**2).sum(axis=1), (y**2).sum(axis=1)
+    rough = squares_x[:, None] + squares_y[None, :] - 2 * (x @ y.T)
+    rough[own] = np.inf
+    most = min(k + 8, len(y))
+    # In order of the ids, so that a stable sort gives ties to the smaller one.
+    seen = np.sort(np.argpartition(rough, most - 1, axis=1)[:, :most], axis=1)
+    total = np.zeros(seen.shape)
+    for j in range(x.shape[1]):
+        gap = x[:, j, None] - y[seen, j]
+        total += gap * gap
+    exact = np.where(np.take_along_axis(own, seen, axis=1), np.inf, np.sqrt(total))
+    order = np.argsort(exact, axis=1, kind="stable")[:, :k]
+    picked, value = np.take_along_axis(seen, order, axis=1), np.take_along_axis(exact, order, axis=1)
+    if most < len(y):
+        slack = 1e-13 * x.shape[1] * (squares_x.max() + squares_y.max())
+        unsure = np.flatnonzero(value[:, -1] ** 2 + slack >= np.take_along_axis(rough, seen, axis=1).max(axis=1) - slack)
+        if len(unsure):
+            d = distances(x[unsure], y)
+            d[own[unsure]] = np.inf
+            picked[unsure] = np.argsort(d, axis=1, kind="stable")[:, : picked.shape[1]]
+            value[unsure] = np.take_along_axis(d, picked[unsure], axis=1)
+    return picked, value
+
+
 def _top(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k nearest rows of `right` for each row of `left`, itself left out.
 
@@ -266,11 +296,7 @@ def _top(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
         if y is None:
             picked, value = np.zeros((len(here), 0), dtype=int), np.zeros((len(here), 0))
         else:
-            d = distances(matrix(left["embedding"].iloc[part]), y)
-            d[here[:, None] == other[None, :]] = np.inf
-            # Stable on ids in ascending order: ties go to the smaller id.
-            picked = np.argsort(d, axis=1, kind="stable")[:, :k]
-            value = np.take_along_axis(d, picked, axis=1)
+            picked, value = _nearest(matrix(left["embedding"].iloc[part]), y, here[:, None] == other[None, :], k)
         finite = np.isfinite(value)
         bound = np.where(finite.sum(axis=1) == k, np.max(value, axis=1, initial=0.0), np.inf)
         i, j = np.nonzero(finite)
