@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType
 
 from commentloom.config import DEFAULT_QUESTIONS, ClusteringSettings, TermSettings
 from commentloom.functions import text as tx
@@ -16,6 +18,7 @@ from commentloom.operators import (
     labels,
     layout as plane,
     neighbours,
+    offline,
     reshape,
     silhouette as sil,
     terms,
@@ -23,8 +26,8 @@ from commentloom.operators import (
     vectors as vec,
 )
 from commentloom.plans import views
-from commentloom.runtime import cut, name, numbered
-from commentloom.sources import store, tables
+from commentloom.runtime import cut, name, numbered, shared_folder
+from commentloom.sources import store, survey, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -135,6 +138,44 @@ def translate_glossary(spark, folder):
     return done.select("doc_id", "source_lang", "translated")
 
 
+def _store(spark: SparkSession, provider) -> store.ResultStore:
+    """An empty store in the shared folder."""
+    folder = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    return store.ResultStore(spark, folder, provider.provider_id, StringType())
+
+
+def detect_stored(spark, folder):
+    """Detection by a provider and a result store; the second run finds all results."""
+    provider, docs = offline.WordListDetector(), cut(_documents(spark, folder))
+    held = _store(spark, provider)
+    enrich.detect_with(docs, provider, held)
+    done = enrich.with_source_language(enrich.detect_with(docs, provider, held))
+    return done.select("doc_id", "detected_lang", "source_lang")
+
+
+def translate_stored(spark, folder):
+    """Translation by a provider, in batches of one language, through a result store."""
+    provider, docs = offline.GlossaryTranslator(), cut(_with_language(_documents(spark, folder)))
+    done = enrich.translate_with(docs, provider, _store(spark, provider))
+    return done.select("doc_id", "source_lang", "translated")
+
+
+def survey_scan(spark, folder):
+    """The survey written as a tab-separated export and read back by the survey scan."""
+    path = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    rows = views.survey(spark, folder).withColumnsRenamed({"response_id": "ResponseId", "user_language": "UserLanguage"})
+    rows.write.options(sep="\t", header=True, quote='"', escape='"', nullValue="NA", emptyValue="").csv(path)
+    return _plain(survey.read_files(spark, path, DEFAULT_QUESTIONS))
+
+
+def question_files(spark, folder):
+    """Comments exported with a directory per question; the scan reads the chosen ones."""
+    path = f"{shared_folder(spark)}/questions-{uuid.uuid4().hex}"
+    tables.export_per_question(_comments(spark, folder), path)
+    chosen = tables.select_questions(spark.read.parquet(path), TERMS.question_ids)
+    return chosen.select("response_id", "question", "clean_text")
+
+
 def translated_wide(spark, folder):
     """Survey to English, end to end: unpivot, clean, detect, translate, pivot, null rules."""
     done = enrich.translate_glossary(_with_language(_comments(spark, folder)))
@@ -346,6 +387,7 @@ QUERIES: dict[str, Query] = {
         issue_distribution, flag_issues, flagged, clean,
         survey_long, comments_long, question_filter, distinct_texts, row_ids, turns_union,
         detect_language, translate_glossary, translated_wide, store_missing,
+        detect_stored, translate_stored, survey_scan, question_files,
         embed_hash, embedding_summary, parse_predictions,
         valid_vectors, enough_vectors, standardise, pca_scores, pca_gram, knn, knn_blocked, silhouette_blocked, kmeans_pass, core_distance, mutual_reachability,
         spanning_tree, hdbscan, only_noise, silhouette, kmeans_best_k, clusters, cluster_summary, layout,

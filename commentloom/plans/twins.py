@@ -310,6 +310,16 @@ def _twins() -> dict[str, str]:
             JOIN sizes s USING (question)""",
     }
     # The same results by way of small blocks and passes, as large questions take it.
+    scanned = ", ".join(
+        f"""nullif(nullif({_trim(f'"{c}"')}, ''), 'NA') AS "{to}\""""
+        for c, to in [("response_id", "ResponseId"), ("user_language", "UserLanguage"), *((q, q.replace(".", "_")) for q in DEFAULT_QUESTIONS)]
+    )
+    twins |= {
+        "detect_stored": twins["detect_language"],
+        "translate_stored": twins["translate_glossary"],
+        "question_files": twins["question_filter"],
+        "survey_scan": f"WITH {SURVEY} SELECT {scanned} FROM survey",
+    }
     return twins | {"knn_blocked": twins["knn"], "silhouette_blocked": twins["silhouette"]}
 
 

@@ -8,6 +8,7 @@ import pytest
 
 from commentloom.config import RetrySettings
 from commentloom.operators import enrich
+from commentloom.operators import providers
 from commentloom.operators.providers import with_retry
 from commentloom.sources.store import ResultStore, missing
 
@@ -149,3 +150,33 @@ def test_missing_ignores_failures(spark):
     requests = spark.createDataFrame([("a",), ("b",), ("c",)], "request_key string")
     stored = spark.createDataFrame([("a", "ok"), ("b", "failed")], "request_key string, status string")
     assert {r[0] for r in missing(requests, stored, ["request_key"]).collect()} == {"b", "c"}
+
+
+def test_calls_run_in_parallel_with_full_batches(spark, tmp_path):
+    """10,000 requests use all allowed tasks, and leave one part-filled batch per task and language."""
+    (tmp_path / "calls").mkdir()
+    provider = Upper(tmp_path / "calls")
+    rows = [(f"k{i}", f"text {i}", ["it", "de"][i % 2]) for i in range(10_000)]
+    requests = spark.createDataFrame(rows, "request_key string, text string, lang string")
+    retry = RetrySettings(max_attempts=1, wait=0.0, max_parallel_calls=6)
+    done = providers.run_batches(requests, provider, 100, "string", retry)
+    assert done.rdd.getNumPartitions() == 6 and done.where("status = 'ok'").count() == 10_000
+    assert len(provider.calls()) <= 2 * (50 + 6)
+
+
+def test_target_language_is_asked_for_and_kept_apart(spark, tmp_path):
+    class ToTarget:
+        provider_id = "to-target"
+
+        def __call__(self, texts, lang, target):
+            return [f"{target}:{t}" for t in texts]
+
+    store = ResultStore(spark, str(tmp_path / "s"), "to-target", StringType())
+    df = frame(spark, [(1, "a", "it")])
+    for target in ("en", "fr", "en"):
+        out = enrich.translate_with(df, ToTarget(), store, retry=QUICK, target=target).first()["translated"]
+        assert out == f"{target}:a"
+    (tmp_path / "calls").mkdir()
+    upper = Upper(tmp_path / "calls")
+    with pytest.raises(ValueError, match="target"):
+        enrich.translate_with(df, upper, ResultStore(spark, str(tmp_path / "u"), "upper-1", StringType()), retry=QUICK, target="fr")
