@@ -12,7 +12,7 @@ from commentloom.config import Settings
 from commentloom.operators import cluster, enrich, labels, layout, reshape, terms, validate
 from commentloom.operators.providers import BatchProvider
 from commentloom.operators.vectors import valid_vectors
-from commentloom.runtime import cut, numbered
+from commentloom.runtime import cut, numbered, scratch
 from commentloom.sources import survey as source, tables
 from commentloom.sources.store import ResultStore
 
@@ -36,11 +36,12 @@ class Services:
 
 def load(spark: SparkSession, path: str, settings: Settings = Settings(), encoding: str | None = None) -> DataFrame:
     """The survey exports at `path`, each file in its own charset unless one is given for all."""
+    questions = validate.resolve_questions(settings.input.comment_cols)
     label_rows = settings.input.label_rows if settings.input.drop_label_rows else 0
     if encoding is None:
-        raw = source.read_files(spark, path, settings.input.comment_cols, label_rows)
+        raw = source.read_files(spark, path, questions, label_rows)
     else:
-        raw = source.read_survey(spark, path, settings.input.comment_cols, encoding, label_rows)
+        raw = source.read_survey(spark, path, questions, encoding, label_rows)
     return raw.withColumnsRenamed({"ResponseId": "response_id", "UserLanguage": "user_language"})
 
 
@@ -131,24 +132,34 @@ def run(
     encoding: str | None = None,
     with_layout: bool = False,
 ) -> None:
-    """All stages, each written under `output` and read back by the next."""
-    flagged, clean, issues = check(cut(load(spark, path, settings, encoding)), settings)
-    for name, df in (("flagged", flagged), ("clean", clean), ("issues", issues)):
-        tables.write_table(df, f"{output}/{name}")
-    translated = translate(spark.read.parquet(f"{output}/clean"), settings, services)
-    tables.write_table(translated, f"{output}/translated")
-    embedded = embed(spark.read.parquet(f"{output}/translated"), settings, services)
-    tables.export_per_question(embedded, f"{output}/embeddings")
+    """All stages, each written under `output` and read back by the next.
+
+    A stage's own tables in the shared folder go when it is written.
+    """
+    with scratch(spark):
+        flagged, clean, issues = check(cut(load(spark, path, settings, encoding)), settings)
+        for name, df in (("flagged", flagged), ("clean", clean), ("issues", issues)):
+            tables.write_table(df, f"{output}/{name}")
+    with scratch(spark):
+        translated = translate(spark.read.parquet(f"{output}/clean"), settings, services)
+        tables.write_table(translated, f"{output}/translated")
+    with scratch(spark):
+        embedded = embed(spark.read.parquet(f"{output}/translated"), settings, services)
+        tables.export_per_question(embedded, f"{output}/embeddings")
     embedded = spark.read.schema(embedded.schema).parquet(f"{output}/embeddings")
     tables.write_table(enrich.embedding_summary(embedded), f"{output}/embedding_summary")
-    assigned, summary = themes(embedded, settings)
-    tables.export_per_question(assigned, f"{output}/clusters")
-    tables.write_table(summary, f"{output}/cluster_summary")
+    with scratch(spark):
+        assigned, summary = themes(embedded, settings)
+        tables.export_per_question(assigned, f"{output}/clusters")
+        tables.write_table(summary, f"{output}/cluster_summary")
     if with_layout:
-        points = layout.labelled(layout.layout(embedded, settings.clustering), assigned)
-        tables.export_per_question(points, f"{output}/layout")
+        with scratch(spark):
+            named = spark.read.schema(assigned.schema).parquet(f"{output}/clusters")
+            points = layout.labelled(layout.layout(embedded, settings.clustering), named)
+            tables.export_per_question(points, f"{output}/layout")
     held = tables.read_clusters(spark, f"{output}/clusters")
     if held is not None:
-        styled, audit = clouds(held, settings)
-        tables.write_table(styled, f"{output}/terms")
-        tables.write_table(audit, f"{output}/term_audit")
+        with scratch(spark):
+            styled, audit = clouds(held, settings)
+            tables.write_table(styled, f"{output}/terms")
+            tables.write_table(audit, f"{output}/term_audit")

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -24,6 +27,26 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tables-{context.applicationId}"
 
 
+# Folder, below the shared one, of the innermost scope that is open in this thread.
+_scope: ContextVar[str | None] = ContextVar("scope", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that `cut` writes inside are deleted at the end.
+
+    For steps whose results are written or collected inside: a stage of a pipeline, a micro-batch.
+    """
+    name = uuid.uuid4().hex
+    outer = _scope.set(name)
+    try:
+        yield
+    finally:
+        _scope.reset(outer)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` to a table in the shared folder and go on from there.
 
@@ -31,16 +54,11 @@ def cut(df: DataFrame) -> DataFrame:
     need, and plan with true sizes. Unlike a checkpointed frame the table carries no
     inferred constraints, which would grow from round to round of an iteration.
     """
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = "/".join([shared_folder(df.sparkSession), *filter(None, [_scope.get()]), uuid.uuid4().hex])
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only where the (materialised) side is within `max_rows`."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def name(column: str) -> Column:
     """Column by its exact name, dots included."""
     return F.col(f"`{column}`")

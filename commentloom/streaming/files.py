@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from commentloom.config import Settings
 from commentloom.operators import reshape, validate
-from commentloom.runtime import name
+from commentloom.runtime import name, scratch
 from commentloom.sources.survey import ID_COLUMNS, nulled, survey_schema
 
 
@@ -43,7 +43,8 @@ def enrich_batches(
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        enrich(batch).write.mode("overwrite").parquet(f"{output}/batch={number}")
+        with scratch(batch.sparkSession):
+            enrich(batch).write.mode("overwrite").parquet(f"{output}/batch={number}")
 
     return (
         comments.writeStream.foreachBatch(write)

@@ -82,3 +82,16 @@ def test_results_do_not_depend_on_partitions(spark, tmp_path):
         assigned, _ = pipeline.themes(pipeline.embed(wide, SETTINGS), replace(SETTINGS))
         results.append(sorted(map(tuple, assigned.select("question", "response_id", "cluster", "cluster_label").collect())))
     assert results[0] == results[1]
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    from commentloom.runtime import cut, scratch, shared_folder
+
+    outside = cut(spark.range(3))
+    with scratch(spark):
+        inside = cut(spark.range(5))
+        folder = os.path.dirname(inside.inputFiles()[0].removeprefix("file://"))
+        assert inside.count() == 5 and os.path.exists(folder)
+    assert not os.path.exists(folder) and outside.count() == 3 and shared_folder(spark)
