@@ -68,6 +68,8 @@ class TermSettings:
     min_freq: int = 1
     weight_power: float = 1.2
     rotate_ratio: float = 0.3
+    # What decides between terms of one frequency: "term" or "first_seen".
+    ties: str = "term"
     question_ids: tuple[int, ...] = (2, 10)
     stop_words: tuple[str, ...] = wordlists.ENGLISH_STOP_WORDS + ("will",)
     custom_stop_words: tuple[str, ...] = wordlists.CUSTOM_STOP_WORDS

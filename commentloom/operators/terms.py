@@ -9,6 +9,8 @@ from commentloom.functions.text import sanitize, terms
 
 # Question name of the stop words that hold for every question.
 EVERY = "*"
+# Value of `TermSettings.ties` for order of appearance.
+FIRST_SEEN = "first_seen"
 
 
 def stopword_table(spark: SparkSession, settings: TermSettings = TermSettings()) -> DataFrame:
@@ -29,9 +31,15 @@ def _matches_pattern(term: Column, settings: TermSettings) -> Column:
 def kept_terms(df: DataFrame, settings: TermSettings = TermSettings(), by: tuple[str, ...] = ()) -> DataFrame:
     """`question, *by, term`, one row per kept token of `question, text`.
 
-    The stop-word table is as large as the settings, so it is broadcast.
+    With ties by first appearance also `seen`: response and place of the token. The stop-word
+    table is as large as the settings, so it is broadcast.
     """
-    tokens = df.select("question", *by, F.explode(terms(sanitize(F.col("text")))).alias("term"))
+    found = terms(sanitize(F.col("text")))
+    if settings.ties == FIRST_SEEN:
+        placed = df.select("question", *by, "response_id", F.posexplode(found).alias("_at", "term"))
+        tokens = placed.withColumn("seen", F.struct("response_id", "_at")).drop("response_id", "_at")
+    else:
+        tokens = df.select("question", *by, F.explode(found).alias("term"))
     stop = F.broadcast(stopword_table(df.sparkSession, settings))
     everywhere = stop.where(F.col("question") == EVERY).select("term")
     by_question = stop.where(F.col("question") != EVERY)
@@ -45,18 +53,21 @@ def kept_terms(df: DataFrame, settings: TermSettings = TermSettings(), by: tuple
 def term_table(df: DataFrame, settings: TermSettings = TermSettings(), by: tuple[str, ...] = ()) -> DataFrame:
     """`question, *by, term, freq_sum, rank, weight`: the most frequent terms.
 
-    At most `max_words` terms of at least `min_freq`; ties fall to the term.
-    The weight is frequency to the power `weight_power`, the largest being 100.
+    At most `max_words` terms of at least `min_freq`; ties fall to the term, or, as set, to the one
+    that appears first in the order of the responses. The weight is frequency to the power
+    `weight_power`, the largest being 100.
     """
     group = ("question", *by)
+    tie = "seen" if settings.ties == FIRST_SEEN else "term"
+    more = [F.min("seen").alias("seen")] if tie == "seen" else []
     counts = (
         kept_terms(df, settings, by)
         .groupBy(*group, "term")
-        .agg(F.count("*").alias("freq_sum"))
+        .agg(F.count("*").alias("freq_sum"), *more)
         .where(F.col("freq_sum") >= settings.min_freq)
     )
-    order = Window.partitionBy(*group).orderBy(F.desc("freq_sum"), "term")
-    top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= settings.max_words)
+    order = Window.partitionBy(*group).orderBy(F.desc("freq_sum"), tie)
+    top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= settings.max_words).drop("seen")
     power = F.pow("freq_sum", F.lit(settings.weight_power))
     # Only the kept terms are left here, so the window is small.
     return top.withColumn("weight", power / F.max(power).over(Window.partitionBy(*group)) * 100)

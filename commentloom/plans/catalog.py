@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType
@@ -372,6 +373,12 @@ def term_table(spark, folder):
     return table.select("question", "rank", "term", "freq_sum", _six("weight"))
 
 
+def term_table_first_seen(spark, folder):
+    """Ties by first appearance in the order of the responses."""
+    table = terms.term_table(views.survey_long(spark, folder), replace(TERMS, ties=terms.FIRST_SEEN))
+    return table.select("question", "rank", "term", "freq_sum")
+
+
 def term_style(spark, folder):
     table = terms.term_style(terms.term_table(views.survey_long(spark, folder), TERMS), TERMS)
     return table.select("question", "rank", "term", "angle", "color")
@@ -392,6 +399,6 @@ QUERIES: dict[str, Query] = {
         valid_vectors, enough_vectors, standardise, pca_scores, pca_gram, knn, knn_blocked, silhouette_blocked, kmeans_pass, core_distance, mutual_reachability,
         spanning_tree, hdbscan, only_noise, silhouette, kmeans_best_k, clusters, cluster_summary, layout,
         cluster_tf_idf, cluster_keywords, cluster_labels, cluster_assignments,
-        sanitised_text, term_table, term_style, term_audit,
+        sanitised_text, term_table, term_table_first_seen, term_style, term_audit,
     )
 }

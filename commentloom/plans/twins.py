@@ -198,6 +198,22 @@ top AS (
 """
 
 
+def _first_seen() -> str:
+    """The term table's terms with ties by place, from the same lists of stop words."""
+    ctes = _term_ctes()
+    placed = f"""
+placed AS (
+  SELECT question, response_id, unnest({_terms('t')}) AS term, generate_subscripts({_terms('t')}, 1) AS place
+  FROM (SELECT question, response_id, {_sanitised('text')} AS t FROM long WHERE text IS NOT NULL)
+),
+firsts AS (SELECT question, term, min(ROW(response_id, place)) AS seen FROM placed GROUP BY ALL)"""
+    return f"""WITH {ctes}, {placed}
+        SELECT * FROM (
+          SELECT c.question, row_number() OVER (PARTITION BY c.question ORDER BY freq_sum DESC, seen) AS rank, c.term, freq_sum
+          FROM counted c JOIN firsts USING (question, term) WHERE freq_sum >= {TERMS.min_freq})
+        WHERE rank <= {TERMS.max_words}"""
+
+
 def _twins() -> dict[str, str]:
     wide = ", ".join(
         f"coalesce(max(translated) FILTER (question = '{q}'), '') AS \"{q.replace('.', '_')}_translated\""
@@ -318,6 +334,7 @@ def _twins() -> dict[str, str]:
         "detect_stored": twins["detect_language"],
         "translate_stored": twins["translate_glossary"],
         "question_files": twins["question_filter"],
+        "term_table_first_seen": _first_seen(),
         "survey_scan": f"WITH {SURVEY} SELECT {scanned} FROM survey",
     }
     return twins | {"knn_blocked": twins["knn"], "silhouette_blocked": twins["silhouette"]}
