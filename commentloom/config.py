@@ -57,6 +57,9 @@ class ClusteringSettings:
     embedding_columns: tuple[str, ...] = ()
     # Rows handled by one task of a distance job, and pivots per question.
     block_rows: int = 2048
+    # The same for neighbours and silhouettes, whose tasks go through a block in pieces: a row is
+    # copied once for each partner block, so larger blocks mean fewer copies.
+    pair_rows: int = 16_384
     max_pivots: int = 256
     # Largest tree (edges of one question) that a single task may finish.
     tree_limit: int = 1_000_000

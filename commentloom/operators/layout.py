@@ -52,7 +52,11 @@ def neighbour_weights(near: DataFrame, n_neighbors: int) -> DataFrame:
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(weight=[_weights(np.asarray(d), n_neighbors) for d in batch["distance"]])
+            held = batch["distance"].str.len().to_numpy()
+            rows = np.full((len(batch), held.max(initial=1)), np.inf)
+            rows[np.arange(rows.shape[1]) < held[:, None]] = np.concatenate(batch["distance"].to_list() or [[]])
+            weights = _weights(rows, n_neighbors)
+            yield batch.assign(weight=[w[:n] for w, n in zip(weights, held)])
 
     weighed = parts.mapInPandas(
         weigh,
@@ -73,20 +77,22 @@ def neighbour_weights(near: DataFrame, n_neighbors: int) -> DataFrame:
     return both.select("question", "response_id", "neighbour_id", weight.alias("weight"))
 
 
-def _weights(distance: np.ndarray, n_neighbors: int) -> list[float]:
-    gap = np.maximum(distance - distance.min(), 0.0)
-    target, low, high, scale = np.log2(n_neighbors), 0.0, np.inf, 1.0
+def _weights(distance: np.ndarray, n_neighbors: int) -> np.ndarray:
+    """Weights of all rows of a batch, by bisection of their scales; absent neighbours are at infinity."""
+    gap = np.maximum(distance - distance.min(axis=1, keepdims=True), 0.0)
+    target = np.log2(n_neighbors)
+    low, high, scale = np.zeros(len(gap)), np.full(len(gap), np.inf), np.ones(len(gap))
     for _ in range(64):
-        total = np.exp(-gap / scale).sum()
-        if abs(total - target) < 1e-5:
+        total = np.exp(-gap / scale[:, None]).sum(axis=1)
+        moving = (np.abs(total - target) >= 1e-5) & (scale >= 1e-12)
+        if not moving.any():
             break
-        if total > target:
-            high, scale = scale, (low + scale) / 2
-        else:
-            low, scale = scale, scale * 2 if np.isinf(high) else (scale + high) / 2
-        if scale < 1e-12:
-            break
-    return np.exp(-gap / max(scale, 1e-12)).tolist()
+        above = total > target
+        high = np.where(moving & above, scale, high)
+        low = np.where(moving & ~above, scale, low)
+        middle = np.where(np.isinf(high), scale * 2, (low + np.where(np.isinf(high), 0.0, high)) / 2)
+        scale = np.where(moving, middle, scale)
+    return np.exp(-gap / np.maximum(scale, 1e-12)[:, None])
 
 
 def embed_plane(scores: DataFrame, settings: ClusteringSettings, epochs: int | None = None) -> DataFrame:
@@ -95,7 +101,7 @@ def embed_plane(scores: DataFrame, settings: ClusteringSettings, epochs: int | N
     Runs `epochs` epochs (`layout_epochs` if None) with a falling rate, or until no point moves.
     """
     epochs = settings.layout_epochs if epochs is None else epochs
-    near = knn(scores, settings.n_neighbors, settings.block_rows, settings.max_pivots)
+    near = knn(scores, settings.n_neighbors, settings.pair_rows, settings.max_pivots)
     edges = cut(neighbour_weights(near, settings.n_neighbors))
     first = F.get("embedding", F.lit(0))
     second = F.coalesce(F.get("embedding", F.lit(1)), F.lit(0.0))

@@ -155,7 +155,7 @@ def with_point(df: DataFrame, points: DataFrame) -> DataFrame:
     return rows.join(keyed, ["question", "_h", "embedding"]).select("question", "response_id", "point_id")
 
 
-def knn(df: DataFrame, k: int, block_rows: int = 2048, max_pivots: int = 256) -> DataFrame:
+def knn(df: DataFrame, k: int, block_rows: int = 16_384, max_pivots: int = 256) -> DataFrame:
     """`question, response_id, rank, neighbour_id, distance`: the `k` nearest other rows.
 
     Exact. Equal distances are ranked by neighbour id. Distances are computed

@@ -298,7 +298,7 @@ def only_noise(spark, folder):
 
 
 def silhouette(spark, folder):
-    return sil.silhouette(_vectors(spark, folder), CLUSTERING.block_rows).select("question", _six("silhouette"))
+    return sil.silhouette(_vectors(spark, folder), CLUSTERING.pair_rows).select("question", _six("silhouette"))
 
 
 def silhouette_blocked(spark, folder):
