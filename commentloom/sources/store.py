@@ -63,12 +63,37 @@ class ResultStore:
             F.min(F.when(ok, F.col("value"))).alias("value"),
         )
 
+    def compact(self) -> None:
+        """Rewrite this provider's rows as one per key, in few files.
+
+        The new files are added before the old ones are deleted, so a run that breaks off leaves
+        some rows twice, which readers allow for.
+        """
+        held = self.load()
+        old = held.inputFiles()
+        if not old:
+            return
+        ok = F.col("status") == OK
+        rows = held.groupBy("request_key", "provider").agg(
+            F.when(F.max(ok), F.lit(OK)).otherwise(F.lit(FAILED)).alias("status"),
+            F.min(F.when(ok, F.col("value"))).alias("value"),
+        )
+        rows.write.mode("append").partitionBy("provider").parquet(self.path)
+        conf = self.spark._jsc.hadoopConfiguration()
+        for file in old:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(conf).delete(path, False)
+
     def ensure(self, requests: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """Results for `requests` (distinct on `request_key`), computing the missing ones.
 
         `compute` maps requests to `request_key, status, value`.
         """
-        todo = cut(missing(requests, self.load(), ["request_key"]))
+        # The requests are the small side as a rule: as a table they can be broadcast to the store,
+        # which then is read once and not shuffled.
+        requests = cut(requests)
+        held = self.load().join(requests.select("request_key"), "request_key", "left_semi")
+        todo = cut(missing(requests, held.select("request_key", "status"), ["request_key"]))
         if not todo.isEmpty():
             fresh = compute(todo).select(
                 "request_key", F.lit(self.provider).alias("provider"), "status", "value"

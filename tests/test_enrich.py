@@ -180,3 +180,16 @@ def test_target_language_is_asked_for_and_kept_apart(spark, tmp_path):
     upper = Upper(tmp_path / "calls")
     with pytest.raises(ValueError, match="target"):
         enrich.translate_with(df, upper, ResultStore(spark, str(tmp_path / "u"), "upper-1", StringType()), retry=QUICK, target="fr")
+
+
+def test_compaction_keeps_results(spark, tmp_path):
+    (tmp_path / "calls").mkdir()
+    provider = Upper(tmp_path / "calls")
+    store = ResultStore(spark, str(tmp_path / "s"), provider.provider_id, StringType())
+    for texts in ("ab", "bc", "cd"):
+        enrich.translate_with(frame(spark, [(i, t, "it") for i, t in enumerate(texts)]), provider, store, retry=QUICK).collect()
+    before, calls = {tuple(r) for r in store.load().collect()}, len(provider.calls())
+    store.compact()
+    assert {tuple(r) for r in store.load().collect()} == before and len(before) == store.load().count() == 4
+    enrich.translate_with(frame(spark, [(1, "a", "it"), (2, "d", "it")]), provider, store, retry=QUICK).collect()
+    assert len(provider.calls()) == calls

@@ -96,3 +96,11 @@ def test_settings_from_a_mapping():
     assert settings.clustering.pca_dims == 7 and settings.terms.question_ids == (3,)
     assert settings.terms.custom_stop_words == ("Foo",)
     assert settings.terms.question_stop_words == {"Q4.3": ("bar",)}
+
+
+def test_texts_are_tokenised_once(spark):
+    """Term, holder and total counts come from one table of counts."""
+    rows = spark.createDataFrame([("q", "r1", "a good room", 1), ("q", "r2", "a bad room", 2)], "question string, response_id string, text string, cluster int")
+    scored = labels.tf_idf(labels.cluster_words(rows))
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan and plan.count("FileScan parquet") >= 1
