@@ -288,6 +288,12 @@ def spanning_tree(spark, folder):
     return edges.select("question", "lo", "hi", _six("weight"))
 
 
+def spanning_tree_blocked(spark, folder):
+    settings = replace(CLUSTERING, block_rows=SMALL_BLOCK, tree_limit=0)
+    edges = density.spanning_tree(cut(_vectors(spark, folder)), settings)
+    return edges.select("question", "lo", "hi", _six("weight"))
+
+
 def hdbscan(spark, folder):
     return density.hdbscan(_vectors(spark, folder), CLUSTERING)
 
@@ -397,7 +403,7 @@ QUERIES: dict[str, Query] = {
         detect_stored, translate_stored, survey_scan, question_files,
         embed_hash, embedding_summary, parse_predictions,
         valid_vectors, enough_vectors, standardise, pca_scores, pca_gram, knn, knn_blocked, silhouette_blocked, kmeans_pass, core_distance, mutual_reachability,
-        spanning_tree, hdbscan, only_noise, silhouette, kmeans_best_k, clusters, cluster_summary, layout,
+        spanning_tree, spanning_tree_blocked, hdbscan, only_noise, silhouette, kmeans_best_k, clusters, cluster_summary, layout,
         cluster_tf_idf, cluster_keywords, cluster_labels, cluster_assignments,
         sanitised_text, term_table, term_table_first_seen, term_style, term_audit,
     )

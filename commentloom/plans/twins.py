@@ -293,6 +293,28 @@ def _twins() -> dict[str, str]:
               round(greatest(a.core, b.core, n.distance), 6) AS reachability
             FROM near n JOIN cores a USING (question, response_id)
             JOIN cores b ON b.question = n.question AND b.response_id = n.neighbour_id WHERE rank <= {NEIGHBOURS}""",
+        # Kruskal's rule, an edge a step: edges in order of weight, then ids, join two labels or none.
+        "spanning_tree": f"""WITH RECURSIVE {CORE}, members AS (
+              SELECT question, response_id, row_number() OVER (PARTITION BY question ORDER BY response_id) AS place FROM valid),
+            weighted AS (
+              SELECT p.question, p.response_id AS lo, p.neighbour_id AS hi, greatest(a.core, b.core, p.distance) AS weight
+              FROM pairs p JOIN cores a USING (question, response_id)
+              JOIN cores b ON b.question = p.question AND b.response_id = p.neighbour_id WHERE p.response_id < p.neighbour_id),
+            edges AS (
+              SELECT w.*, x.place AS a, y.place AS b,
+                     row_number() OVER (PARTITION BY w.question ORDER BY weight, lo, hi) AS step
+              FROM weighted w JOIN members x ON x.question = w.question AND x.response_id = lo
+              JOIN members y ON y.question = w.question AND y.response_id = hi),
+            kruskal AS (
+              SELECT question, CAST(0 AS BIGINT) AS step, range(1, count(*) + 1) AS labels, false AS picked
+              FROM members GROUP BY question
+              UNION ALL
+              SELECT k.question, e.step,
+                     CASE WHEN labels[e.a] = labels[e.b] THEN labels
+                          ELSE list_transform(labels, lambda x: CASE WHEN x = labels[e.a] THEN labels[e.b] ELSE x END) END,
+                     labels[e.a] <> labels[e.b]
+              FROM kruskal k JOIN edges e ON e.question = k.question AND e.step = k.step + 1)
+            SELECT question, lo, hi, round(weight, 6) AS weight FROM kruskal JOIN edges USING (question, step) WHERE picked""",
         "only_noise": f"WITH {VECTORS} SELECT question, bool_and(cluster = 0) AS noise FROM valid GROUP BY question",
         "silhouette": f"""WITH {PAIRS}, means AS (
               SELECT p.question, p.response_id, a.cluster AS own, b.cluster AS other, avg(distance) AS m
@@ -337,6 +359,7 @@ def _twins() -> dict[str, str]:
         "term_table_first_seen": _first_seen(),
         "survey_scan": f"WITH {SURVEY} SELECT {scanned} FROM survey",
     }
+    twins["spanning_tree_blocked"] = twins["spanning_tree"]
     return twins | {"knn_blocked": twins["knn"], "silhouette_blocked": twins["silhouette"]}
 
 
