@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from commentloom.llm.batches import arrow, columns, record, small
 from commentloom.llm.bpe import load
 from commentloom.llm.codec import encode_batch
-from commentloom.runtime import numbered
+from commentloom.runtime import cut, numbered
 
 CAPACITY = 1024
 END_ID = 2
@@ -157,7 +157,9 @@ def places(patterns: list[Pattern]) -> np.ndarray:
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The pieces of all documents, each with its sequence and its offset there."""
-    found = numbered(pieces(docs, path, capacity, end_id, id_column, text), "length", ["doc_id", "piece"], "rank")
+    # A table first: range partitioning looks at its input twice.
+    cut_up = cut(pieces(docs, path, capacity, end_id, id_column, text))
+    found = numbered(cut_up, "length", ["doc_id", "piece"], "rank")
     counts = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table = places(plan(counts, capacity))
     out = T.StructType([f for f in found.schema if f.name != "rank"] + list(columns("sequence_id long, offset long")))
