@@ -8,7 +8,8 @@ anchor x as "a bytes before x and length - a bytes from x on" at each of its pla
 2. An anchor's context is what any such string can hold: `length - gram` bytes before it and
    `length` from it on. Anchors that share their whole context with another one are settled.
 3. What is left are distinct contexts that share a gram with others: where copies begin, end or
-   differ. These suffixes are range-partitioned by their leading bytes (Spark samples the
+   differ. A pass in order of gram and preceding bytes leaves each no more of these than another
+   one shares. The suffixes are then range-partitioned by their leading bytes (Spark samples the
    splitters), sorted in their bucket by multikey quicksort over 8-byte words, and again
    backwards. For each a the equal strings have equal first bytes and equal last bytes before
    the anchor, which are neighbours in both orders. Where a group of equal leading bytes
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -187,11 +189,12 @@ def common(keys: np.ndarray, order: np.ndarray) -> np.ndarray:
 def compare(frame: list[tuple[bytes, bytes, bytes]], length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """Strings of one bucket, by row and number of bytes before the anchor.
 
-    Rows are (context key, bytes before, bytes from the anchor on). Gives whether each string
-    repeats in the bucket, and whether its group of leading bytes reaches the bucket's border.
+    Rows are (context key, reversed bytes before, bytes from the anchor on). Gives whether each
+    string repeats in the bucket, and whether it is to be sent to others: its group of leading
+    bytes reaches the bucket's border, and it is the first of its equals here.
     """
     forward = _words([f for _, _, f in frame], length)
-    backward = _words([b[::-1] for _, b, _ in frame], length - gram)
+    backward = _words([b for _, b, _ in frame], length - gram)
     order, back_order = multikey_quicksort(forward), multikey_quicksort(backward)
     shared, back_shared = common(forward, order), common(backward, back_order)
     n = len(frame)
@@ -207,12 +210,11 @@ def compare(frame: list[tuple[bytes, bytes, bytes]], length: int, gram: int) ->
         rows = np.flatnonzero(valid)
         if not len(rows):
             continue
-        last = fore_group[order[-1]]
-        border[rows, a] = (fore_group[rows] == fore_group[order[0]]) | (fore_group[rows] == last)
-        if len(rows) > 1:
-            pair = fore_group[rows] * (n + 1) + back_group[rows]
-            _, inverse, count = np.unique(pair, return_inverse=True, return_counts=True)
-            repeats[rows, a] = count[inverse] > 1
+        pair = fore_group[rows] * (n + 1) + back_group[rows]
+        _, head, inverse, count = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
+        repeats[rows, a] = count[inverse] > 1
+        reps = rows[head]
+        border[reps, a] = (fore_group[reps] == fore_group[order[0]]) | (fore_group[reps] == fore_group[order[-1]])
     return repeats, border
 
 
@@ -241,13 +243,13 @@ def repeated_spans(docs: DataFrame, text: str, length: int = LENGTH, gram: int =
     wanted = cut(
         open_contexts.unionByName(others).join(asked, "gram", "left_semi").select("context", F.col("holder.text").alias("text"), F.col("holder.at").alias("at"))
     )
-    suffixes = cut(_suffixes(rows, wanted, length, gram))
+    suffixes = cut(_shared_before(_suffixes(rows, wanted, length, gram), length, gram))
     compared = cut(_buckets(suffixes, length, gram))
     inside = compared.where("digest is null").select("context", "low", "high")
     crossing = compared.where("digest is not null")
     # By a too: a place may be seen from two anchors, but only once with the same a.
     met = crossing.groupBy("digest", "low").agg(F.count("*").alias("n")).where("n > 1").select("digest", "low")
-    across = crossing.join(met, ["digest", "low"], "left_semi").select("context", "low", "high")
+    across = crossing.where("context is not null").join(met, ["digest", "low"], "left_semi").select("context", "low", "high")
     settled = others.select("context", F.lit(0).alias("low"), F.lit(length - gram).alias("high"))
     ranges = inside.unionByName(across).unionByName(settled)
     ranges = ranges.groupBy("context").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
@@ -261,7 +263,10 @@ def repeated_spans(docs: DataFrame, text: str, length: int = LENGTH, gram: int =
 
 
 def _suffixes(rows: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
-    """(context, before, after): the bytes of the wanted contexts, each from one text."""
+    """(context, before, after): the bytes of the wanted contexts, each from one text.
+
+    Those before the anchor are in reversed order.
+    """
     places = wanted.groupBy("text").agg(F.collect_list(F.struct("context", "at")).alias("places"))
     out = columns("context binary, before binary, after binary")
     arrow_out = arrow(out)
@@ -273,7 +278,7 @@ def _suffixes(rows: DataFrame, wanted: DataFrame, length: int, gram: int) -> Dat
                 data = t.encode()
                 for p in places:
                     before, context = _context(data, p["at"], length, gram)
-                    found.append((p["context"], context[:before], context[before:]))
+                    found.append((p["context"], context[:before][::-1], context[before:]))
             if found:
                 yield record(arrow_out, list(zip(*found)))
 
@@ -281,6 +286,37 @@ def _suffixes(rows: DataFrame, wanted: DataFrame, length: int, gram: int) -> Dat
     return rows.join(places, "text").select("t", "places").mapInArrow(fetch, out).dropDuplicates(["context"])
 
 
+def _shared_before(suffixes: DataFrame, length: int, gram: int) -> DataFrame:
+    """The suffixes with no more bytes before the anchor than some other one with their gram shares.
+
+    In order of gram and reversed bytes, the one that shares most stands next to it. No
+    repeated string can reach back farther, so most contexts that a common passage stands
+    in have few strings left to compare. At a bucket's ends all bytes stay.
+    """
+    out = columns("context binary, before binary, after binary")
+    arrow_out = arrow(out)
+
+    def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[bytes, bytes, bytes]] = []
+        known = length  # shared with the row before the first one held
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held += zip(*(batch.column(c).to_pylist() for c in ("context", "before", "after")))
+            if not held:
+                continue
+            keys = _words([a[:gram].ljust(-(-gram // 8) * 8, b"\0") + b for _, b, a in held], -(-gram // 8) * 8 + length - gram)
+            shared = np.append(common(keys, np.arange(len(held))) - -(-gram // 8) * 8, length)
+            shared[0] = known
+            done = len(held) if batch is None else len(held) - 1
+            most = np.maximum(np.maximum(shared[:-1], shared[1:]), 0)[:done].tolist()
+            if done:
+                yield record(arrow_out, list(zip(*((c, b[:n], a) for (c, b, a), n in zip(held, most)))))
+            held, known = held[done:], int(shared[done])
+
+    by_gram = [F.substring("after", 1, gram), F.col("before")]
+    return suffixes.repartitionByRange(*by_gram).sortWithinPartitions(*by_gram).mapInArrow(trim, out)
+
+
 def _buckets(suffixes: DataFrame, length: int, gram: int, most: int = BUCKET) -> DataFrame:
     """Repeated strings of each range of suffixes: (context, low, high), or a digest for each
     string that other buckets may hold."""
@@ -303,16 +339,20 @@ def _buckets(suffixes: DataFrame, length: int, gram: int, most: int = BUCKET) ->
         for i in np.flatnonzero(repeats.any(axis=1) | border.any(axis=1)).tolist():
             context, before, after = frame[i]
             found += [(context, low, high, None) for low, high in _runs(repeats[i])]
-            whole, n = before + after, len(before)
-            # Those that repeat inside are sent as well, for their equals elsewhere to find.
-            found += [(context, a, a, _digest(whole[n - a : n - a + length])) for a in np.flatnonzero(border[i]).tolist()]
+            # One of those that repeat inside is sent as well, for its equals elsewhere to find.
+            found += [
+                (None if repeats[i, a] else context, a, a, _digest(before[:a] + after[: length - a]))
+                for a in np.flatnonzero(border[i]).tolist()
+            ]
             if len(found) > 50_000:
                 yield record(arrow_out, list(zip(*found)))
                 found = []
         if found:
             yield record(arrow_out, list(zip(*found)))
 
-    return suffixes.repartitionByRange("after").sortWithinPartitions("after").mapInArrow(bucket, out)
+    # Also by what stands before, so that many contexts with one ending are no hot range.
+    ranges = suffixes.repartitionByRange("after", "before").sortWithinPartitions("after", "before")
+    return ranges.mapInArrow(bucket, out)
 
 
 def _merged(spans: list[dict]) -> list[tuple[int, int]]:
