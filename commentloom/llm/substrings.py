@@ -252,7 +252,8 @@ def repeated_spans(docs: DataFrame, text: str, length: int = LENGTH, gram: int =
     across = crossing.where("context is not null").join(met, ["digest", "low"], "left_semi").select("context", "low", "high")
     settled = others.select("context", F.lit(0).alias("low"), F.lit(length - gram).alias("high"))
     ranges = inside.unionByName(across).unionByName(settled)
-    ranges = ranges.groupBy("context").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
+    # A table, so that adaptive execution can split a context that very many places share.
+    ranges = cut(ranges.groupBy("context").agg(F.collect_set(F.struct("low", "high")).alias("ranges")))
     # A string starts a bytes before the anchor, so low..high covers one stretch, which the text's
     # ends cut off where a settled context is cut off by them.
     at = kept.join(ranges, "context").select(
