@@ -190,14 +190,17 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     """The `keep` columns (all if None) with `lang_pred` and `score` of each row's text."""
     names = docs.columns if keep is None else keep
     kept = [f"k{i}" for i in range(len(names))]
-    rows = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(names, kept)], F.col(f"`{text}`").alias("t"))
+    # A text that is kept is not sent twice.
+    read = kept[names.index(text)] if text in names else "t"
+    own = [F.col(f"`{c}`").alias(k) for c, k in zip(names, kept)]
+    rows = docs.select(*own, *([F.col(f"`{text}`").alias("t")] if read == "t" else []))
     out = T.StructType([f for f in rows.schema if f.name != "t"] + list(columns("lang_pred string, score double")))
     arrow_out = arrow(out)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, "t", 1 << 20):
-            found = sent.value.predict(batch.column("t").to_pylist())
+        for batch in small(batches, read, 1 << 18):
+            found = sent.value.predict(batch.column(read).to_pylist())
             yield record(arrow_out, [*[batch.column(k) for k in kept], *zip(*found)])
 
     done = rows.mapInArrow(predict, out)
