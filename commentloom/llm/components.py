@@ -45,3 +45,20 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """A table of `docs` with columns c0, c1, … and a number of each row, `row`."""
+    return cut(docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).withColumn("row", F.monotonically_increasing_id()))
+
+
+def least_rows(rows: DataFrame, found: DataFrame, names: list[str], id_column: str) -> DataFrame:
+    """The rows of `numbered` that stay, under their `names`.
+
+    Of each component of `found` (row, component) exactly one row stays: that with the smallest id,
+    one without an id only if no other has one. Rows that are in no component stay.
+    """
+    named = cut(rows.select("row", F.col(f"c{names.index(id_column)}").alias("id")).join(found, "row"))
+    least = named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("least"))
+    gone = named.select("row").join(least.select("least.row"), "row", "left_anti")
+    return rows.join(gone, "row", "left_anti").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

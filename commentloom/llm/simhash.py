@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from commentloom.llm.batches import arrow, columns, record
-from commentloom.llm.components import components
+from commentloom.llm.components import components, least_rows, numbered
 from commentloom.runtime import cut
 
 SHINGLE = 3
@@ -200,11 +200,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", distance: int = DISTANCE, segments: int = SEGMENTS, most: int = MOST) -> DataFrame:
-    """The rows of `docs` with the smallest id of their component, with all columns.
+    """One row of `docs` of each component, with all columns: that with the smallest id.
 
-    Rows without an id stay unless their component has a row with one. Ids are taken as unique,
-    as exact dedup leaves them; rows that repeat an id stay or go together.
+    Rows without an id, and different texts under one id, count like any others.
     """
-    marked = near_duplicates(docs, id_column, text, distance, segments, most)
-    gone = marked.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_column}`").eqNullSafe(F.col("__gone")), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = numbered(docs)
+    marked = cut(fingerprints(rows, "row", f"c{docs.columns.index(text)}"))
+    found = marked.join(classes(marked, distance, segments, most), "fp").select(F.col("id").alias("row"), F.col("component_id").alias("component"))
+    return least_rows(rows, found, docs.columns, id_column)

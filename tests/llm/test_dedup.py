@@ -187,3 +187,13 @@ def test_counter_of_groups_is_exact(docs):
     found = exact.flags(docs).collect()
     by_text = Counter(r["text_sha256"] for r in found)
     assert all(by_text[r["text_sha256"]] == r["group_size"] for r in found)
+
+
+def test_near_copies_go_by_row(spark):
+    """Null and repeated ids: one row of each group stays, and rows outside of groups stay."""
+    text = " ".join(f"w{i}" for i in range(200))
+    other, third, fourth = (" ".join(f"{c}{i}" for i in range(200)) for c in "abc")
+    rows = [(1, text), (None, text), (None, other), (None, third), (None, third), (7, fourth), (7, text), (7, "x y z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = sorted([(1, text), (None, other), (None, third), (7, fourth), (7, "x y z")], key=str)
+    assert sorted(map(tuple, simhash.keep_one(docs).collect()), key=str) == expected
