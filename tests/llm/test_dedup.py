@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from commentloom.llm import components, exact, simhash, substrings
+import corpus_pipeline
+from commentloom.llm import components, exact, similar, simhash, substrings
 
 
 def test_perfect_hash():
@@ -189,6 +190,50 @@ def test_counter_of_groups_is_exact(docs):
     assert all(by_text[r["text_sha256"]] == r["group_size"] for r in found)
 
 
+def shingled(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def edited(text, rng, changes):
+    words = text.split()
+    for at in rng.sample(range(len(words)), changes):
+        words[at] = f"changed{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("limits", [{}, {"most": 3, "pivots": 2}])
+def test_pipeline_keeps_one_of_similar_texts(spark, limits):
+    """Against all pairs, with copies around the limit, chains, and groups that are measured by pivots."""
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(150)) for _ in range(12)]
+    for i in range(9):
+        last = texts[i]
+        for k in range(6):
+            texts.append(last := edited(last if i % 2 else texts[i], rng, 1 + k % 5))
+    texts += [None, "", "one two", "ONE  two", "one two three"]
+    sets = [shingled(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        return x if parent[x] == x else root(parent[x])
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    expected = sorted({root(i) for i in range(len(texts))})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    if limits:
+        kept = similar.keep_one(docs, **limits)
+    else:
+        kept = corpus_pipeline.near_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == expected
+    assert 12 < len(expected) < len(texts) - 10
+
+
 def test_near_copies_go_by_row(spark):
     """Null and repeated ids: one row of each group stays, and rows outside of groups stay."""
     text = " ".join(f"w{i}" for i in range(200))
@@ -196,4 +241,5 @@ def test_near_copies_go_by_row(spark):
     rows = [(1, text), (None, text), (None, other), (None, third), (None, third), (7, fourth), (7, text), (7, "x y z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     expected = sorted([(1, text), (None, other), (None, third), (7, fourth), (7, "x y z")], key=str)
-    assert sorted(map(tuple, simhash.keep_one(docs).collect()), key=str) == expected
+    for kept in (simhash.keep_one(docs), similar.keep_one(docs)):
+        assert sorted(map(tuple, kept.collect()), key=str) == expected
