@@ -15,25 +15,37 @@ bounded. Prediction reads every byte of every text and nothing else.
 
 A null text, or one without a letter, is `und` with score 0, as is every text when no language
 could be learned. Rows with a null id are never learned from and count as held out.
+
+Whether a text fits its predicted language at all is decided by its bits per byte. The sample is dealt
+to two halves, and each half's texts are coded under the model of the other; twice their median and
+their spread give each language a limit, which is wider for short texts. A language without
+such texts has no limit.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from commentloom.llm.batches import arrow, columns, record, small
+from commentloom.runtime import cut
 
 ORDER = 3
 SAMPLE_DOCS = 600
 CELLS = 12_000_000
 MIN_COUNT = 4
 UNKNOWN = "und"
+#: A text is not of its language beyond so many times the median plus so many spreads; after LONG bytes the spread is no longer narrower.
+TIMES = 2.0
+FAR = 8.0
+LONG = 400
+#: Least spread of a single byte's bits.
+LEAST_SPREAD = 1.0
 HAS_LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -54,6 +66,8 @@ class Model:
     symbol: np.ndarray
     node: np.ndarray
     bits: np.ndarray
+    #: Median of the bits per byte and spread of one byte's bits, of the languages that have a limit.
+    limits: dict[str, tuple[float, float]] = field(default_factory=dict)
 
     def lengths(self, texts: list[bytes]) -> np.ndarray:
         """Code length in bits of each text under each language."""
@@ -87,6 +101,20 @@ class Model:
         share = 1 / np.exp2(-np.minimum(lengths - lengths.min(axis=1)[:, None], 1000)).sum(axis=1)
         return [(self.languages[b], float(s)) if k else (UNKNOWN, 0.0) for b, s, k in zip(best, share, known)]
 
+    def fits(self, texts: list[str | None]) -> list[bool]:
+        """Whether each text has a letter and is coded about as well as its language's texts are."""
+        known = [bool(t) and HAS_LETTER.search(t) is not None for t in texts]
+        if not self.languages:
+            return known
+        data = [t.encode() if k else b"" for t, k in zip(texts, known)]
+        sizes = np.array([max(1, len(t)) for t in data])
+        lengths = self.lengths(data)
+        best = lengths.argmin(axis=1)
+        none = (np.inf, 0.0)
+        middle, spread = np.array([self.limits.get(lang, none) for lang in self.languages]).T
+        limit = TIMES * middle[best] + FAR * spread[best] / np.sqrt(np.minimum(sizes, LONG))
+        return [bool(k and b <= m) for k, b, m in zip(known, lengths.min(axis=1) / sizes, limit)]
+
 
 def grams(rows: DataFrame) -> DataFrame:
     """Counts of each language's byte strings of one to four bytes: lang, size, gram, n.
@@ -173,19 +201,56 @@ def build(counted: list[tuple[str, int, int, int]], cells: int = CELLS, min_coun
     return Model(languages, symbol, node.reshape(-1), bits.reshape(-1, len(languages)))
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, cells: int = CELLS, id_column: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """The model of a sample of the labelled rows that are not held out."""
+def _sample(docs: DataFrame, sample_docs: int, id_column: str, text: str, lang: str) -> DataFrame | None:
+    """(id, t, lang) of a sample of the labelled rows that are not held out; None if there are none."""
     rows = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("lang"))
     rows = rows.where(~held_out(F.col("id")) & F.col("t").isNotNull() & F.col("lang").isNotNull())
     sizes = rows.groupBy("lang").count().collect()  # one row per language
     if not sizes:
-        return build([], cells)
+        return None
     rate = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, sample_docs / r["count"]))])
-    picked = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) < F.element_at(rate, F.col("lang")) * (1 << 30)
-    counted = grams(rows.where(picked).select("t", "lang")).collect()  # bounded by the sample
+    return rows.where(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) < F.element_at(rate, F.col("lang")) * (1 << 30))
+
+
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, cells: int = CELLS, id_column: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
+    """The model of a sample of the labelled rows that are not held out."""
+    picked = _sample(docs, sample_docs, id_column, text, lang)
+    if picked is None:
+        return build([], cells)
+    counted = grams(picked.select("t", "lang")).collect()  # bounded by the sample
     return build([tuple(r) for r in counted], cells)
 
 
+def fit_with_limits(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, cells: int = CELLS, id_column: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
+    """The model of `fit`, with limits on the bits per byte."""
+    picked = _sample(docs, sample_docs, id_column, text, lang)
+    if picked is None:
+        return build([], cells)
+    # A sample by a hash of the id, halved by another one.
+    picked = cut(picked.select("t", "lang", F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("half")), F.lit(2)).cast("int").alias("half")))
+    halves = [[tuple(r) for r in grams(picked.where(F.col("half") == h).select("t", "lang")).collect()] for h in (0, 1)]
+    total: dict[tuple[str, int, int], int] = {}
+    for name, size, gram, n in [*halves[0], *halves[1]]:
+        total[name, size, gram] = total.get((name, size, gram), 0) + n
+    model = build([(*key, n) for key, n in total.items()], cells)
+    del total
+    own: dict[str, list[tuple[float, int]]] = {}
+    for h in (0, 1):
+        # The sample is bounded, and its texts pass one by one: no task has to hold one more model.
+        other = build(halves[1 - h], cells // 4)
+        for r in picked.where((F.col("half") == h) & F.col("lang").isin(other.languages)).select("t", "lang").toLocalIterator():
+            if HAS_LETTER.search(r["t"]):
+                data = r["t"].encode()
+                bits = float(other.lengths([data])[0, other.languages.index(r["lang"])])
+                own.setdefault(r["lang"], []).append((bits / len(data), len(data)))
+    for name, found in own.items():
+        rate, size = (np.array(x, float) for x in zip(*found))
+        middle = np.median(rate)
+        spread = 1.4826 * np.median(np.abs(rate - middle) * np.sqrt(np.minimum(size, LONG)))
+        model.limits[name] = float(middle), float(max(spread, LEAST_SPREAD))
+    return model
+
+
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The `keep` columns (all if None) with `lang_pred` and `score` of each row's text."""
     names = docs.columns if keep is None else keep
@@ -214,8 +279,19 @@ def predictions(docs: DataFrame, **fitting) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of `docs` whose text has a predicted language, with their own columns only."""
+    """The rows of `docs` whose text has a letter and fits its predicted language.
+
+    All texts with a letter stay if no language could be learned.
+    """
     names = [f"c{i}" for i in range(len(docs.columns))]
     rows = docs.toDF(*names)
-    found = identify(rows, model, names[docs.columns.index(text)])
-    return found.where(F.col("lang_pred") != UNKNOWN).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+    read = names[docs.columns.index(text)]
+    arrow_out = arrow(rows.schema)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, read, 1 << 18):
+            kept = batch.filter(pa.array(sent.value.fits(batch.column(read).to_pylist()), pa.bool_()))
+            yield record(arrow_out, [kept.column(n) for n in names])
+
+    return rows.mapInArrow(choose, rows.schema).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])

@@ -1,6 +1,7 @@
 """Neighbours, scores, language, archive and the pipeline."""
 
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -118,6 +119,22 @@ def test_language_of_odd_rows(docs, no_docs):
     assert language.predictions(no_docs).count() == 0
 
 
+def test_texts_outside_all_languages_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(5)
+    blob = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(600))
+    odd = [blob, "Ο ήλιος λάμπει πάνω από τη θάλασσα και τα παιδιά παίζουν στην παραλία. " * 4, "xq zvkj qqx wzxk jvqz kkxq zzvw qxj " * 8]
+    more = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(odd)], "doc_id long, text string, lang string")
+    kept = [r["doc_id"] for r in corpus_pipeline.known_language(spark, docs.unionByName(more), "").collect()]
+    assert not [i for i in kept if i < 0]
+    assert len(kept) >= 0.99 * docs.count()
+
+
+def test_texts_stay_where_nothing_is_learned(spark):
+    docs = spark.createDataFrame([(1, "Some text.", None), (2, "Other text.", None), (3, "12 !", None)], "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in corpus_pipeline.known_language(spark, docs, "").collect()} == {1, 2}
+
+
 def test_code_lengths_are_exact():
     """Against the recursion written out for one language."""
     text = b"abracadabra abrac"
