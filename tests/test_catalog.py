@@ -41,3 +41,10 @@ def test_twin(spark, duck, query):
     expected = duck.execute(f"SELECT {', '.join(order)} FROM ({TWINS[query]})").fetchall()
     assert expected
     assert lines(tuple(r[c] for c in order) for r in result.collect()) == lines(expected)
+
+
+def test_layout_query_runs_the_operator_as_it_is(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr("commentloom.operators.layout.embed_plane", lambda scores, settings, epochs=None: asked.append((settings.layout_epochs, epochs)))
+    QUERIES["layout"](spark, FOLDER)
+    assert asked in ([(200, None)], [(200, 200)])
