@@ -51,8 +51,10 @@ class ClusteringSettings:
     n_start: int = 10
     seed: int = 42
     n_neighbors: int = 15
-    # Epochs of the layout at most; it ends before when no point moves any more.
     layout_epochs: int = 200
+    # Rows that one task of the layout moves, and how often the tasks of a larger question exchange positions.
+    layout_rows: int = 4096
+    layout_exchanges: int = 8
     # Questions (or their translated columns) that get vectors; all if empty.
     embedding_columns: tuple[str, ...] = ()
     # Rows handled by one task of a distance job, and pivots per question.

@@ -338,6 +338,13 @@ def cluster_summary(spark, folder):
     return labels.cluster_summary(named, methods)
 
 
+def neighbour_weights(spark, folder):
+    """Weights of the edges that the layout follows."""
+    near = neighbours.knn(_vectors(spark, folder), CLUSTERING.n_neighbors)
+    weights = plane.neighbour_weights(near, CLUSTERING.n_neighbors)
+    return weights.select("question", "response_id", "neighbour_id", F.round("weight", 4).alias("weight"))
+
+
 def layout(spark, folder):
     return plane.layout(_vectors(spark, folder), CLUSTERING)
 
@@ -402,7 +409,7 @@ QUERIES: dict[str, Query] = {
         detect_stored, translate_stored, survey_scan, question_files,
         embed_hash, embedding_summary, parse_predictions,
         valid_vectors, enough_vectors, standardise, pca_scores, pca_gram, knn, knn_blocked, silhouette_blocked, kmeans_pass, core_distance, mutual_reachability,
-        spanning_tree, spanning_tree_blocked, hdbscan, only_noise, silhouette, kmeans_best_k, clusters, cluster_summary, layout,
+        spanning_tree, spanning_tree_blocked, hdbscan, only_noise, silhouette, kmeans_best_k, clusters, cluster_summary, neighbour_weights, layout,
         cluster_tf_idf, cluster_keywords, cluster_labels, cluster_assignments,
         sanitised_text, term_table, term_table_first_seen, term_style, term_audit,
     )

@@ -143,6 +143,112 @@ cores AS (
 )
 """
 
+# Kruskal's rule, an edge a step: edges in order of weight, then ids, join two labels or none.
+KRUSKAL = CORE + """,
+members AS (
+  SELECT question, response_id, row_number() OVER (PARTITION BY question ORDER BY response_id) AS place FROM valid),
+weighted AS (
+  SELECT p.question, p.response_id AS lo, p.neighbour_id AS hi, greatest(a.core, b.core, p.distance) AS weight
+  FROM pairs p JOIN cores a USING (question, response_id)
+  JOIN cores b ON b.question = p.question AND b.response_id = p.neighbour_id WHERE p.response_id < p.neighbour_id),
+edges AS (
+  SELECT w.*, x.place AS a, y.place AS b,
+         row_number() OVER (PARTITION BY w.question ORDER BY weight, lo, hi) AS step
+  FROM weighted w JOIN members x ON x.question = w.question AND x.response_id = lo
+  JOIN members y ON y.question = w.question AND y.response_id = hi),
+kruskal AS (
+  SELECT question, CAST(0 AS BIGINT) AS step, range(1, count(*) + 1) AS labels, false AS picked
+  FROM members GROUP BY question
+  UNION ALL
+  SELECT k.question, e.step,
+         CASE WHEN labels[e.a] = labels[e.b] THEN labels
+              ELSE list_transform(labels, lambda x: CASE WHEN x = labels[e.a] THEN labels[e.b] ELSE x END) END,
+         labels[e.a] <> labels[e.b]
+  FROM kruskal k JOIN edges e ON e.question = k.question AND e.step = k.step + 1)
+"""
+# The tree's steps as a hierarchy: a split joins two sides of `min_pts` rows or more, a side is a cluster, a row
+# enters it at the step that first puts it among so many rows.
+CONDENSED = KRUSKAL + f""",
+joins AS (
+  SELECT e.question, e.step, e.a, e.b, 1 / greatest(e.weight, 1e-10) AS density, before.labels AS l0,
+         len(list_filter(before.labels, lambda x: x = before.labels[e.a])) AS n_a,
+         len(list_filter(before.labels, lambda x: x = before.labels[e.b])) AS n_b
+  FROM edges e JOIN kruskal k ON k.question = e.question AND k.step = e.step AND k.picked
+  JOIN kruskal before ON before.question = e.question AND before.step = e.step - 1
+),
+entered AS (
+  SELECT j.question, m.place, min(j.step) AS step FROM joins j JOIN members m USING (question)
+  WHERE n_a + n_b >= {CLUSTERING.min_pts} AND l0[m.place] IN (l0[a], l0[b]) GROUP BY ALL
+),
+splits AS (
+  SELECT *, row_number() OVER (PARTITION BY question ORDER BY step) AS k
+  FROM joins WHERE n_a >= {CLUSTERING.min_pts} AND n_b >= {CLUSTERING.min_pts}
+),
+sides AS (
+  SELECT question, step, k, density, l0, 0 AS side, l0[a] AS label FROM splits
+  UNION ALL SELECT question, step, k, density, l0, 1, l0[b] FROM splits
+),
+within AS (
+  SELECT s.question, s.k, s.side, max(c.k) AS inner_k, max(c.step) AS inner_step
+  FROM sides s LEFT JOIN splits c ON c.question = s.question AND c.step < s.step AND s.l0[c.a] = s.label
+  GROUP BY ALL
+),
+held AS (
+  SELECT s.question, s.k, s.side, s.density, w.inner_k, e.place, greatest(e.step, coalesce(w.inner_step, 0)) AS leaves
+  FROM sides s JOIN within w USING (question, k, side)
+  JOIN entered e ON e.question = s.question AND s.l0[e.place] = s.label
+),
+stable AS (
+  SELECT h.question, h.k, h.side, inner_k, sum(j.density - h.density) AS s
+  FROM held h JOIN joins j ON j.question = h.question AND j.step = h.leaves GROUP BY ALL
+),
+pairs_of AS (
+  SELECT a.question, a.k, a.s AS s_a, a.inner_k AS in_a, b.s AS s_b, b.inner_k AS in_b
+  FROM stable a JOIN stable b ON a.question = b.question AND a.k = b.k AND a.side = 0 AND b.side = 1
+),
+totals AS (
+  SELECT question, CAST(0 AS BIGINT) AS k, CAST([] AS DOUBLE[]) AS best, false AS wins_a, false AS wins_b FROM members GROUP BY question
+  UNION ALL
+  SELECT p.question, p.k,
+         best || [greatest(s_a, coalesce(best[2 * in_a - 1] + best[2 * in_a], 0)), greatest(s_b, coalesce(best[2 * in_b - 1] + best[2 * in_b], 0))],
+         s_a >= coalesce(best[2 * in_a - 1] + best[2 * in_a], 0), s_b >= coalesce(best[2 * in_b - 1] + best[2 * in_b], 0)
+  FROM totals t JOIN pairs_of p ON p.question = t.question AND p.k = t.k + 1
+),
+top AS (
+  SELECT h.question, h.place, max(2 * h.k + h.side) AS key
+  FROM held h JOIN totals t USING (question, k) WHERE CASE WHEN side = 0 THEN wins_a ELSE wins_b END GROUP BY ALL
+),
+firsts AS (SELECT question, key, min(place) AS first FROM top GROUP BY ALL),
+numbers AS (
+  SELECT question, place, number FROM top
+  JOIN (SELECT *, row_number() OVER (PARTITION BY question ORDER BY first) AS number FROM firsts) USING (question, key)
+)
+"""
+# Scales by bisection, a step a row.
+WEIGHTS = PAIRS + f""",
+lists AS (
+  SELECT question, response_id, neighbour_id, distance - min(distance) OVER (PARTITION BY question, response_id) AS gap
+  FROM near WHERE rank <= {CLUSTERING.n_neighbors}
+),
+search AS (
+  SELECT question, response_id, list(gap) AS gaps, CAST(0 AS DOUBLE) AS low, CAST('inf' AS DOUBLE) AS high, CAST(1 AS DOUBLE) AS scale, 0 AS step
+  FROM lists GROUP BY question, response_id
+  UNION ALL
+  SELECT question, response_id, gaps, CASE WHEN above THEN low ELSE scale END, CASE WHEN above THEN scale ELSE high END,
+         CASE WHEN above THEN (low + scale) / 2 WHEN isinf(high) THEN scale * 2 ELSE (scale + high) / 2 END, step + 1
+  FROM (SELECT *, list_sum(list_transform(gaps, lambda g: exp(-g / scale))) - log2({CLUSTERING.n_neighbors}) AS off, off > 0 AS above FROM search)
+  WHERE step < 64 AND abs(off) >= 1e-5 AND scale >= 1e-12
+),
+scales AS (SELECT question, response_id, arg_max(scale, step) AS scale FROM search GROUP BY ALL),
+one_way AS (
+  SELECT question, response_id, neighbour_id, exp(-gap / greatest(scale, 1e-12)) AS weight FROM lists JOIN scales USING (question, response_id)
+),
+joined AS (
+  SELECT p.question, p.response_id, p.neighbour_id, p.weight + coalesce(q.weight, 0) - p.weight * coalesce(q.weight, 0) AS weight
+  FROM one_way p LEFT JOIN one_way q ON q.question = p.question AND q.response_id = p.neighbour_id AND q.neighbour_id = p.response_id
+)
+"""
+
 LABELLED = """
 labelled AS (
   SELECT doc_id AS response_id, text, coalesce(label, CAST(doc_id % 10 AS INTEGER)) AS cluster,
@@ -293,28 +399,10 @@ def _twins() -> dict[str, str]:
               round(greatest(a.core, b.core, n.distance), 6) AS reachability
             FROM near n JOIN cores a USING (question, response_id)
             JOIN cores b ON b.question = n.question AND b.response_id = n.neighbour_id WHERE rank <= {NEIGHBOURS}""",
-        # Kruskal's rule, an edge a step: edges in order of weight, then ids, join two labels or none.
-        "spanning_tree": f"""WITH RECURSIVE {CORE}, members AS (
-              SELECT question, response_id, row_number() OVER (PARTITION BY question ORDER BY response_id) AS place FROM valid),
-            weighted AS (
-              SELECT p.question, p.response_id AS lo, p.neighbour_id AS hi, greatest(a.core, b.core, p.distance) AS weight
-              FROM pairs p JOIN cores a USING (question, response_id)
-              JOIN cores b ON b.question = p.question AND b.response_id = p.neighbour_id WHERE p.response_id < p.neighbour_id),
-            edges AS (
-              SELECT w.*, x.place AS a, y.place AS b,
-                     row_number() OVER (PARTITION BY w.question ORDER BY weight, lo, hi) AS step
-              FROM weighted w JOIN members x ON x.question = w.question AND x.response_id = lo
-              JOIN members y ON y.question = w.question AND y.response_id = hi),
-            kruskal AS (
-              SELECT question, CAST(0 AS BIGINT) AS step, range(1, count(*) + 1) AS labels, false AS picked
-              FROM members GROUP BY question
-              UNION ALL
-              SELECT k.question, e.step,
-                     CASE WHEN labels[e.a] = labels[e.b] THEN labels
-                          ELSE list_transform(labels, lambda x: CASE WHEN x = labels[e.a] THEN labels[e.b] ELSE x END) END,
-                     labels[e.a] <> labels[e.b]
-              FROM kruskal k JOIN edges e ON e.question = k.question AND e.step = k.step + 1)
+        "spanning_tree": f"""WITH RECURSIVE {KRUSKAL}
             SELECT question, lo, hi, round(weight, 6) AS weight FROM kruskal JOIN edges USING (question, step) WHERE picked""",
+        "hdbscan": f"WITH RECURSIVE {CONDENSED} SELECT question, response_id, CAST(coalesce(number, 0) AS INTEGER) AS cluster FROM members LEFT JOIN numbers USING (question, place)",
+        "neighbour_weights": f"WITH RECURSIVE {WEIGHTS} SELECT question, response_id, neighbour_id, round(weight, 4) AS weight FROM joined",
         "only_noise": f"WITH {VECTORS} SELECT question, bool_and(cluster = 0) AS noise FROM valid GROUP BY question",
         "silhouette": f"""WITH {PAIRS}, means AS (
               SELECT p.question, p.response_id, a.cluster AS own, b.cluster AS other, avg(distance) AS m

@@ -206,16 +206,48 @@ def test_fallback_when_all_is_noise(spark):
     assert found.count() == 36
 
 
-def test_layout_keeps_neighbourhoods(spark):
-    blobs = np.vstack([RNG.normal(m, 0.2, (25, 4)) for m in (0, 6)])
+@pytest.mark.parametrize("rows_per_task", [4096, 48])
+def test_layout_keeps_neighbourhoods(spark, monkeypatch, rows_per_task):
+    """In one group, and in groups that exchange their borders: five blobs of 60 rows, 200 epochs in few jobs."""
+    rng = np.random.default_rng(5)
+    blobs = np.vstack([rng.normal(0, 0.4, (60, 5)) + np.eye(5)[i] * 8 for i in range(5)])
+    blobs = np.vstack([blobs, blobs[:10]])
     scores = cut(frame(spark, {"q": blobs}))
-    out = layout.embed_plane(scores, replace(SETTINGS, n_neighbors=6), epochs=3).orderBy("response_id").toPandas()
+    moves = []
+    monkeypatch.setattr(layout, "_moved", lambda *args, real=layout._moved: moves.append(args) or real(*args))
+    settings = replace(SETTINGS, n_neighbors=8, layout_rows=rows_per_task, max_pivots=8)
+    out = layout.embed_plane(scores, settings).orderBy("response_id").toPandas()
+    assert len(moves) == (1 if rows_per_task > 400 else settings.layout_exchanges)
+    assert sum(args[3] - args[2] for args in moves) == settings.layout_epochs
     plane = out[["x", "y"]].to_numpy()
-    d = all_distances(plane)
-    np.fill_diagonal(d, np.inf)
-    near = np.argsort(d, axis=1)[:, :5]
-    same = (near < 25) == (np.arange(50)[:, None] < 25)
-    assert np.isfinite(plane).all() and same.mean() > 0.95
+    assert len(out) == 310 and np.isfinite(plane).all() and (plane[:10] == plane[300:]).all()
+    plane, blobs = plane[:300], blobs[:300]
+
+    def nearest(x):
+        d = all_distances(x)
+        np.fill_diagonal(d, np.inf)
+        return np.argsort(d, axis=1)[:, :8]
+
+    found, true = nearest(plane), nearest(blobs)
+    assert (found // 60 == np.arange(300)[:, None] // 60).mean() > 0.95
+    assert np.mean([len(set(a) & set(b)) for a, b in zip(found, true)]) > 8 * 0.25
+
+
+def test_spectral_start_orders_a_ring():
+    n = 60
+    head = np.repeat(np.arange(n), 2)
+    tail = np.stack([(np.arange(n) + 1) % n, (np.arange(n) - 1) % n], axis=1).ravel()
+    plane = layout.spectral(n, head, tail, np.ones(2 * n), rounds=4000)
+    step = np.sqrt(((plane - np.roll(plane, 1, axis=0)) ** 2).sum(axis=1))
+    assert step.max() < 0.25 and np.abs(plane).max() > 0.9
+
+
+def test_weights_count_each_list_once(spark):
+    """A row that all others list has no more edges than its own list."""
+    star = np.vstack([np.zeros((1, 12)), np.eye(12)])
+    near = neighbours.knn(frame(spark, {"q": star}), 3)
+    edges = layout.neighbour_weights(near, 3).groupBy("response_id").count().collect()
+    assert {r["count"] for r in edges} == {3}
 
 
 def small(spark, groups):
