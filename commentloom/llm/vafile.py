@@ -59,9 +59,9 @@ class Grid:
         self.bits = bits
         z = np.linspace(-REACH, REACH, (1 << bits) - 1)
         self.edges = np.round(mean[:, None] + deviation[:, None] * z).astype(np.int64)
-        below = np.minimum(np.maximum(self.edges, low[:, None]), high[:, None])
-        self.least = np.concatenate([low[:, None], below], axis=1)
-        self.greatest = np.concatenate([np.maximum(below - 1, low[:, None]), high[:, None]], axis=1)
+        # A cell that no number falls into may be the wrong way round.
+        self.least = np.concatenate([low[:, None], np.maximum(self.edges, low[:, None])], axis=1)
+        self.greatest = np.concatenate([np.minimum(self.edges - 1, high[:, None]), high[:, None]], axis=1)
 
     def packed(self, vectors: np.ndarray) -> np.ndarray:
         """Cells of each row, `bits` bits a dimension."""
