@@ -15,7 +15,11 @@ import numpy as np
 LETTER, NUMBER, SPACE, OTHER, UNKNOWN = 0, 1, 2, 3, 255
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 BASE = tuple(int(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
-CACHE_ENTRIES = 300_000
+#: Factors of the places in a pre-token; they start anew after so many characters.
+PLACES = 1 << 12
+#: Pre-tokens and their characters that a worker keeps ids of.
+STORE_ENTRIES = 100_000
+STORE_CHARS = 4 << 20
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -54,7 +58,8 @@ class ByteBpe:
         self._splitter = pre_tokenizers.ByteLevel(add_prefix_space=False)
         self._class = np.full(0x110000, UNKNOWN, np.uint8)
         self._forget()
-        self._powers: list[tuple[np.ndarray, np.ndarray]] = [self._power_table(b, 1 << 12) for b in BASE]
+        with np.errstate(over="ignore"):
+            self._factors = [np.cumprod(np.full(PLACES, b, np.uint64), dtype=np.uint64) for b in BASE]
 
     # ---- pre-tokens
 
@@ -111,27 +116,21 @@ class ByteBpe:
                 # After the ending a blank or space run keeps its own start; letters start anew.
         return begin
 
-    @staticmethod
-    def _power_table(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        inverse = pow(base, -1, 1 << 64)
-        with np.errstate(over="ignore"):
-            up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, base, np.uint64)]), dtype=np.uint64)
-            down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, inverse, np.uint64)]), dtype=np.uint64)
-        return up, down
-
-    def _hashes(self, codes: np.ndarray, at: np.ndarray, which: int) -> np.ndarray:
-        """A 64-bit hash of each pre-token's characters and length."""
-        n = len(codes)
-        if len(self._powers[which][0]) <= n:
-            self._powers[which] = self._power_table(BASE[which], 2 * n)
-        up, down = self._powers[which]
-        x = (codes.astype(np.uint64) + np.uint64(1)) * MIX[which]
-        x ^= x >> np.uint64(29)
-        x *= up[:n]
-        sums = np.add.reduceat(x, at) * down[at]
-        sums ^= sums >> np.uint64(32)
-        length = np.diff(np.append(at, n)).astype(np.uint64)
-        return sums * MIX[1 - which] + length
+    def _hashes(self, codes: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+        """Two 64-bit hashes of each pre-token's characters and length."""
+        length = np.diff(np.append(at, len(codes)))
+        place = np.arange(len(codes)) - np.repeat(at, length)
+        found = []
+        for mix, other, factors in zip(MIX, MIX[::-1], self._factors):
+            x = (codes.astype(np.uint64) + np.uint64(1)) * mix
+            x ^= x >> np.uint64(29)
+            x *= factors[place & (PLACES - 1)]
+            far = np.flatnonzero(place >= PLACES)
+            x[far] *= ((place[far] // PLACES) * 2 + 1).astype(np.uint64)
+            sums = np.add.reduceat(x, at)
+            sums ^= sums >> np.uint64(32)
+            found.append(sums * other + length.astype(np.uint64))
+        return found
 
     def pretokens(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
         """The texts end to end, the character offsets of all pre-tokens, and of all texts."""
@@ -144,12 +143,13 @@ class ByteBpe:
 
     def _forget(self) -> None:
         self._slot: dict[str, int] = {}
+        self._chars = 0
         self._flat = np.zeros(1 << 16, np.int32)
         self._ends = np.zeros(1 << 14, np.int64)
 
     def _slots(self, pieces: list[str]) -> np.ndarray:
         """Place of each pre-token's ids in the store of this worker."""
-        if len(self._slot) > CACHE_ENTRIES:
+        if len(self._slot) > STORE_ENTRIES or self._chars > STORE_CHARS:
             self._forget()
         slots = [self._slot.get(p, -1) for p in pieces]
         missing = [i for i, s in enumerate(slots) if s < 0]
@@ -162,6 +162,7 @@ class ByteBpe:
                 p = pieces[i]
                 if (slot := self._slot.setdefault(p, used + len(ends))) == used + len(ends):
                     new += self._merger.encode_ordinary(p)
+                    self._chars += len(p)
                     ends.append(end + len(new))
                 slots[i] = slot
             if end + len(new) > len(self._flat):
@@ -184,7 +185,7 @@ class ByteBpe:
             return Encoded(none, np.zeros(len(texts) + 1, np.int64), text_starts, none, none, none, self._flat)
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         with np.errstate(over="ignore"):
-            one, two = (self._hashes(codes, at, w) for w in (0, 1))
+            one, two = self._hashes(codes, at)
         _, head, member = np.unique(one, return_index=True, return_inverse=True)
         if (two[head][member] != two).any():
             # Two pre-tokens share one hash but not the other: take each by itself.

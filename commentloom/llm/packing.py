@@ -46,7 +46,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in small(batches, "t"):
+        for batch in small(batches, "t", 1 << 19):
             row, number, start, length, crc = [], [], [], [], []
             for i, found in enumerate(encode_batch(bpe, batch.column("t").to_pylist())):
                 ids = np.append(found, end_id).astype("<u4")
