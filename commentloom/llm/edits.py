@@ -11,7 +11,8 @@ Trees are kept in a table by content digest, so that equal texts share one, and
 repeated identifiers do no harm. Null counts as empty; an empty text has a tree with one empty
 leaf. Edits of one text must not overlap; they are (position, characters removed, characters
 put in) in terms of the old text. A text with the string of a special token, before or after the
-edits, is counted whole.
+edits, is counted whole. Columns other than the id and the text are not read, whatever their names.
+An empty table of documents has no tree and no count.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ AHEAD = 3
 #: Runs of digits and addresses, which a redaction step replaces.
 PERSONAL = r"[0-9]{3,}|[A-Za-z0-9._+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+"
 EDITS = T.ArrayType(columns("at int, removed int, inserted string"))
-TREE = columns("key string, chars binary, sums binary")
+TREE = columns("key binary, chars binary, sums binary, total long")
+SLICE_BYTES = 1 << 19
 
 
 class Tree:
@@ -113,68 +115,90 @@ def build(bpe: ByteBpe, texts: list[str], leaf: int = LEAF) -> list[Tree]:
     return trees
 
 
-def _keyed(docs: DataFrame, text: str) -> DataFrame:
+def _keyed(docs: DataFrame, id_column: str | None = None, text: str = "text") -> DataFrame:
+    """(id, key, t) of each row: only these columns are read, whatever the others are called."""
     value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    return docs.select("*", F.sha2(value, 256).alias("__key"), value.alias("__text"))
+    own = [F.col(f"`{id_column}`").alias("id")] if id_column else []
+    return docs.select(*own, F.unhex(F.sha2(value, 256)).alias("key"), value.alias("t"))
 
 
 def trees(docs: DataFrame, path: str, text: str = "text", leaf: int = LEAF) -> DataFrame:
-    """One tree for each distinct text."""
-    rows = _keyed(docs, text).select(F.col("__key").alias("key"), F.col("__text").alias("t"))
+    """One tree for each distinct text, with the token count of the whole text."""
     arrow_tree = arrow(TREE)
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in small(batches, "t"):
-            grown = build(bpe, batch.column("t").to_pylist(), leaf)
-            yield record(arrow_tree, [batch.column("key"), [t.chars.astype("<i4").tobytes() for t in grown], [t.sums.astype("<i8").tobytes() for t in grown]])
+        for batch in small(batches, "t", SLICE_BYTES):
+            texts = batch.column("t").to_pylist()
+            grown = build(bpe, texts, leaf)
+            totals = [t.total() for t in grown]
+            for i in [i for i, t in enumerate(texts) if bpe.has_special(t)]:
+                totals[i] = len(encode_batch(bpe, [texts[i]])[0])
+            chars, sums = ([x.astype(kind).tobytes() for x in arrays] for kind, arrays in (("<i4", [t.chars for t in grown]), ("<i8", [t.sums for t in grown])))
+            yield record(arrow_tree, [batch.column("key"), chars, sums, totals])
 
-    return rows.mapInArrow(grow, TREE).groupBy("key").agg(F.first("chars").alias("chars"), F.first("sums").alias("sums"))
+    grown = _keyed(docs, text=text).mapInArrow(grow, TREE)
+    return grown.groupBy("key").agg(*[F.first(c).alias(c) for c in ("chars", "sums", "total")])
+
+
+EDITED = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("t", T.StringType()), T.StructField("edits", EDITS)])
 
 
 def redactions(docs: DataFrame, text: str = "text", pattern: str = PERSONAL, by: str = "<redacted>") -> DataFrame:
-    """Edits that replace each match of `pattern`: one row for each distinct text that has any."""
-    rows = _keyed(docs, text).select(F.col("__key").alias("key"), F.col("__text").alias("t"))
-    out = T.StructType([T.StructField("key", T.StringType()), T.StructField("edits", EDITS)])
-    arrow_out = arrow(out)
+    """Edits that replace each match of `pattern`: one row with the old text for each distinct text that has any."""
+    arrow_out = arrow(EDITED)
     found = re.compile(pattern)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, edits = [], []
+        for batch in small(batches, "t", SLICE_BYTES):
+            rows = []
             for key, t in zip(batch.column("key").to_pylist(), batch.column("t").to_pylist()):
                 own = [{"at": m.start(), "removed": m.end() - m.start(), "inserted": by} for m in found.finditer(t)]
                 if own:
-                    keys.append(key)
-                    edits.append(own)
-            yield record(arrow_out, [keys, edits])
+                    rows.append((key, t, own))
+            if rows:
+                yield record(arrow_out, list(zip(*rows)))
 
-    return rows.mapInArrow(search, out).groupBy("key").agg(F.first("edits").alias("edits"))
+    edited = _keyed(docs, text=text).mapInArrow(search, EDITED)
+    return edited.groupBy("key").agg(F.first("t").alias("t"), F.first("edits").alias("edits"))
 
 
-COUNTS = columns("n_tokens_before long, n_tokens long, n_edits int, pretokens_encoded long")
+UPDATED = columns("key binary, after long, n_edits int, pretokens_encoded long")
 
 
-def recount(docs: DataFrame, kept_trees: DataFrame, edits: DataFrame, path: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Token counts of each row before and after the edits of its text, by updating its tree."""
-    rows = _keyed(docs, text).select(F.col(f"`{id_column}`").alias("doc_id"), "__key", F.col("__text").alias("t"))
-    state = kept_trees.join(edits, "key", "left").withColumnRenamed("key", "__key")
-    out = T.StructType([rows.schema["doc_id"], *COUNTS])
-    arrow_out = arrow(out)
+def updated(kept_trees: DataFrame, edits: DataFrame, path: str) -> DataFrame:
+    """Token counts of the edited texts (key, t, edits), by updating their trees."""
+    arrow_out = arrow(UPDATED)
 
     def update(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in small(batches, "t"):
+        for batch in small(batches, "t", SLICE_BYTES):
             done = []
-            for t, chars, sums, own in zip(*(batch.column(c).to_pylist() for c in ("t", "chars", "sums", "edits"))):
+            for key, t, chars, sums, own in zip(*(batch.column(c).to_pylist() for c in ("key", "t", "chars", "sums", "edits"))):
                 tree = Tree(np.frombuffer(chars, "<i4").astype(np.int64), np.frombuffer(sums, "<i8").copy())
-                own = [(e["at"], e["removed"], e["inserted"] or "") for e in own or []]
-                before = tree.total()
+                own = [(e["at"], e["removed"], e["inserted"] or "") for e in own]
                 new = tree.edit(bpe, t, own)
-                after = tree.total()
-                if bpe.has_special(t) or bpe.has_special(new):
-                    before, after = (len(x) for x in encode_batch(bpe, [t, new]))
-                done.append((before, after, len(own), tree.encoded))
-            yield record(arrow_out, [batch.column("doc_id"), *zip(*done)])
+                special = bpe.has_special(t) or bpe.has_special(new)
+                after = len(encode_batch(bpe, [new])[0]) if special else tree.total()
+                done.append((key, after, len(own), tree.encoded))
+            if done:
+                yield record(arrow_out, list(zip(*done)))
 
-    return rows.join(state, "__key").select("doc_id", "t", "chars", "sums", "edits").mapInArrow(update, out)
+    return edits.join(kept_trees, "key").select("key", "t", "chars", "sums", "edits").mapInArrow(update, UPDATED)
+
+
+def recount(docs: DataFrame, kept_trees: DataFrame, edits: DataFrame, path: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """Token counts of each row before and after the edits of its text.
+
+    Of a text without edits only the digest travels and the tree's total is read. Rows of one text, however many,
+    meet one row of each table, so that adaptive execution can split them.
+    """
+    counts = kept_trees.select("key", "total").join(updated(kept_trees, edits, path), "key", "left")
+    total = F.col("total").alias("n_tokens_before")
+    return _keyed(docs, id_column, text).select("id", "key").join(counts, "key").select(
+        F.col("id").alias("doc_id"),
+        total,
+        F.coalesce("after", "total").alias("n_tokens"),
+        F.coalesce("n_edits", F.lit(0)).alias("n_edits"),
+        F.coalesce("pretokens_encoded", F.lit(0).cast("long")).alias("pretokens_encoded"),
+    )

@@ -158,3 +158,16 @@ def test_recount(docs, no_docs, tokenizer):
         expected.append((doc_id, *(len(tokenizer.tokenizer.encode(t, add_special_tokens=False).ids) for t in (text, new)), n))
     assert sorted((tuple(r)[:4] for r in found), key=str) == sorted(expected, key=str)
     assert edits.recount(no_docs, edits.trees(no_docs, path), edits.redactions(no_docs), path).count() == 0
+
+
+def test_recount_beside_columns_of_the_same_names(spark):
+    """Columns named like the operator's own, and a text edited at both ends."""
+    path = bpe.default_path()
+    rows = [(1, "12345 calls from a@b.cd", "x", "y", "z"), (2, "no edit", "x", "y", "z"), (3, "12345 calls from a@b.cd", "x", "y", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __key string, __text string, t string")
+    found = {r["doc_id"]: r for r in edits.recount(docs, edits.trees(docs, path), edits.redactions(docs), path).collect()}
+    assert found[2]["n_edits"] == 0 and found[2]["n_tokens"] == found[2]["n_tokens_before"]
+    assert found[1]["n_edits"] == found[3]["n_edits"] == 2
+    plan = edits.recount(docs, edits.trees(docs, path), edits.redactions(docs), path)._jdf.queryExecution().optimizedPlan().toString()
+    joined = [line for line in plan.splitlines() if "Join LeftOuter" in line or "Join Inner" in line]
+    assert len(joined) == 3
