@@ -9,9 +9,10 @@ code of the whole text is shortest is predicted; ties go to the smaller name. Th
 share of the probabilities 2^-length of all languages.
 
 Fitting reads a sample of labelled rows whose size is a parameter: rows are picked by a hash of
-their id at a rate per language that yields about `sample_docs` whole texts. The tree holds the
-most frequent contexts up to `cells` table entries, so the model that is sent to the tasks is
-bounded. Prediction reads every byte of every text and nothing else.
+their id at a rate per language that yields about `sample_docs` whole texts. The trees hold every context
+and successor of the sample, whatever the number of languages: a successor that any language saw has
+one entry, found by hashing. So the model that is sent to the tasks grows with the sample
+only. Prediction reads every byte of every text and nothing else; other columns are passed on or left alone, whatever their names.
 
 A null text, or one without a letter, is `und` with score 0, as is every text when no language
 could be learned. Rows with a null id are never learned from and count as held out.
@@ -37,8 +38,9 @@ from commentloom.runtime import cut
 
 ORDER = 3
 SAMPLE_DOCS = 600
-CELLS = 12_000_000
-MIN_COUNT = 4
+SLICE_BYTES = 1 << 18
+#: Bytes times languages that are looked up at a time.
+LOOKUPS = 1 << 18
 UNKNOWN = "und"
 #: A text is not of its language beyond so many times the median plus so many spreads; after LONG bytes the spread is no longer narrower.
 TIMES = 2.0
@@ -54,44 +56,100 @@ def held_out(id_column: Column) -> Column:
     return F.coalesce(F.crc32(id_column.cast("string")) % 5 == 0, F.lit(True))
 
 
+class Slots:
+    """Place of each key, by hashing with linear probing on arrays; -1 for others."""
+
+    FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(4, (2 * len(keys)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.places = np.full(1 << self.bits, -1, np.int32)
+        left, at = np.arange(len(keys)), self._first(keys)
+        while len(left):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[left[free]]
+            put = self.keys[at] == keys[left]
+            self.places[at[put]] = left[put]
+            left, at = left[~put], at[~put] + 1 & (1 << self.bits) - 1
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * self.FACTOR >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        at = self._first(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.places[at], -1)
+        open_ = np.flatnonzero((found != keys) & (found >= 0))
+        at = at[open_]
+        while len(open_):
+            at = at + 1 & (1 << self.bits) - 1
+            found, asked = self.keys[at], keys[open_]
+            hit = found == asked
+            out[open_[hit]] = self.places[at[hit]]
+            left = ~hit & (found >= 0)
+            open_, at = open_[left], at[left]
+        return out
+
+
 @dataclass
 class Model:
     """Code lengths of all languages by context node and byte.
 
     `symbol` numbers the bytes that were seen (0: none such); `node` gives the node of the last
-    three numbers; `bits` has a row of lengths, one per language, for each node and number.
+    three numbers, 0 the empty context, and `parent` the node of the context one byte shorter. `slots` finds the entry of a node and a
+    number, `bits` has a row of lengths, one per language, for each entry, and `escape` for each node.
     """
 
     languages: list[str]
     symbol: np.ndarray
     node: np.ndarray
+    parent: np.ndarray
+    slots: Slots
     bits: np.ndarray
+    escape: np.ndarray
     #: Median of the bits per byte and spread of one byte's bits, of the languages that have a limit.
     limits: dict[str, tuple[float, float]] = field(default_factory=dict)
 
     def lengths(self, texts: list[bytes]) -> np.ndarray:
         """Code length in bits of each text under each language."""
-        width = len(self.symbol) and int(self.symbol.max()) + 1
+        width = int(self.symbol.max()) + 1
         out = np.zeros((len(texts), len(self.languages)))
         sizes = np.array([len(t) for t in texts], np.int64)
-        full = np.flatnonzero(sizes)
-        if not len(full):
+        if not sizes.any() or not self.languages:
             return out
         codes = self.symbol[np.frombuffer(b"".join(texts), np.uint8)]
-        starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
-        before = []
-        for back in range(1, ORDER + 1):
-            shifted = np.zeros_like(codes)
-            shifted[back:] = codes[:-back]
-            for k in range(back):  # nothing stands before a text's first byte
-                at = starts + k
-                shifted[at[at < len(shifted)]] = np.where(k < sizes[full][at < len(shifted)], 0, shifted[at[at < len(shifted)]])
-            before.append(shifted)
-        context = (before[2] * width + before[1]) * width + before[0]
-        rows = self.bits[self.node[context].astype(np.int64) * width + codes]
-        out[full] = np.add.reduceat(rows, starts, axis=0, dtype=np.float64)
+        text = np.repeat(np.arange(len(texts)), sizes)
+        place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        context = np.zeros(len(codes), np.int64)
+        for back in range(ORDER, 0, -1):  # nothing stands before a text's first byte
+            before = np.zeros_like(codes)
+            before[back:] = codes[:-back]
+            context = context * width + np.where(place < back, 0, before)
+        piece = max(1, LOOKUPS // len(self.languages))
+        for start in range(0, len(codes), piece):
+            own = slice(start, start + piece)
+            cost = self._costs(self.node[context[own]].astype(np.int64), codes[own], width)
+            first, last = int(text[own][0]), int(text[own][-1]) + 1
+            for j in range(len(self.languages)):
+                out[first:last, j] += np.bincount(text[own] - first, cost[:, j], last - first)
         return out
 
+    def _costs(self, node: np.ndarray, codes: np.ndarray, width: int) -> np.ndarray:
+        """Bits of each byte after its context, under each language."""
+        cost = np.zeros((len(codes), len(self.languages)), np.float32)
+        left = np.arange(len(codes))
+        while len(left):
+            entry = self.slots.of(node * width + codes[left])
+            hit = entry >= 0
+            cost[left[hit]] += self.bits[entry[hit]]
+            # No language saw this byte here: each escapes that knows the context.
+            left, node = left[~hit], node[~hit]
+            cost[left] += self.escape[node]
+            cost[left[node == 0]] += 8.0
+            left, node = left[node > 0], self.parent[node[node > 0]].astype(np.int64)
+        return cost
+
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         known = [bool(t) and HAS_LETTER.search(t) is not None for t in texts]
         if not self.languages:
@@ -125,7 +183,7 @@ def grams(rows: DataFrame) -> DataFrame:
     arrow_out = arrow(out)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, "t"):
+        for batch in small(batches, "t", SLICE_BYTES):
             by_language: dict[str, list[bytes]] = {}
             for lang, t in zip(batch.column("lang").to_pylist(), batch.column("t").to_pylist()):
                 by_language.setdefault(lang, []).append(t.encode())
@@ -146,59 +204,63 @@ def grams(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(tally, out).groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
 
 
-def build(counted: list[tuple[str, int, int, int]], cells: int = CELLS, min_count: int = MIN_COUNT) -> Model:
+def _summed(lang: np.ndarray, gram: np.ndarray, n: np.ndarray, languages: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts by language and gram, in order of the gram."""
+    key, where = np.unique(gram * languages + lang, return_inverse=True)
+    return key % languages, key // languages, np.bincount(where, n, len(key)).astype(np.int64)
+
+
+def build(counted: list[tuple[str, int, int, int]] | pa.Table) -> Model:
     """The model of the counts of `grams`."""
-    languages = sorted({c[0] for c in counted})
+    if not isinstance(counted, pa.Table):
+        counted = pa.table(dict(zip(("lang", "size", "gram", "n"), zip(*counted)))) if counted else pa.table({"lang": []})
+    languages = sorted(set(counted.column("lang").to_pylist()))
     if not languages:
-        return Model([], np.zeros(256, np.int64), np.zeros(1, np.int32), np.zeros((1, 0), np.float32))
-    exact = {lang: {k: {} for k in range(1, ORDER + 2)} for lang in languages}
-    for lang, size, gram, n in counted:
-        for k in range(1, size + 1):  # its last k bytes
-            tail = gram & ((1 << (8 * k)) - 1)
-            table = exact[lang][k]
-            table[tail] = table.get(tail, 0) + n
-    seen = sorted({gram for lang in languages for gram in exact[lang][1]})
+        nothing = np.zeros(1, np.int64)
+        return Model([], np.zeros(256, np.int64), nothing, nothing, Slots(nothing[:0]), np.zeros((0, 0), np.float32), np.zeros((1, 0), np.float32))
+    number = {lang: i for i, lang in enumerate(languages)}
+    lang = np.array([number[x] for x in counted.column("lang").to_pylist()], np.int64)
+    size, gram, n = (np.asarray(counted.column(c).to_pylist(), np.int64) for c in ("size", "gram", "n"))
+    tables = []  # of strings of 1 to ORDER + 1 bytes, which are the last ones of the longer strings
+    for k in range(1, ORDER + 2):
+        longer = size >= k
+        tables.append(_summed(lang[longer], gram[longer] & (1 << 8 * k) - 1, n[longer], len(languages)))
+    seen = np.unique(tables[0][1])
     symbol = np.zeros(256, np.int64)
     symbol[seen] = np.arange(1, len(seen) + 1)
     width = len(seen) + 1
-    # Contexts by number of occurrences; a context's shorter ones occur at least as often.
-    totals: dict[tuple[int, int], int] = {}
-    for lang in languages:
-        for k in range(2, ORDER + 2):
-            for gram, n in exact[lang][k].items():
-                key = (k - 1, gram >> 8)
-                totals[key] = totals.get(key, 0) + n
-    most = max(1, cells // (width * len(languages)))
-    kept = sorted((c for c, n in totals.items() if n >= min_count), key=lambda c: (-totals[c], c))[: most - 1]
-    kept.sort()
-    number = {c: i + 1 for i, c in enumerate(kept)}  # node 0: the empty context
-    bits = np.empty((1 + len(kept), width, len(languages)), np.float32)
-    parents = np.zeros(1 + len(kept), np.int64)
-    for (k, gram), i in number.items():
-        while k > 1:
-            k, gram = k - 1, gram & ((1 << (8 * (k - 1))) - 1)
-            if (k, gram) in number:
-                parents[i] = number[(k, gram)]
-                break
-    for j, lang in enumerate(languages):
-        successors: dict[int, list[tuple[int, int]]] = {0: [(symbol[g], n) for g, n in exact[lang][1].items()]}
-        for k in range(2, ORDER + 2):
-            for gram, n in exact[lang][k].items():
-                if (i := number.get((k - 1, gram >> 8))) is not None:
-                    successors.setdefault(i, []).append((symbol[gram & 255], n))
-        for i in range(1 + len(kept)):  # shorter contexts come first
-            row = np.full(width, 8.0) if i == 0 else bits[parents[i], :, j].astype(np.float64)
-            if own := successors.get(i):
-                at, n = (np.array(x) for x in zip(*own))
-                q, total = len(own), int(n.sum())
-                row = row - np.log2(q / (total + q))
-                row[at] = -np.log2(n / (total + q))
-            bits[i, :, j] = row
-    node = np.zeros((width, width, width), np.int32)
-    for (k, gram), i in number.items():  # longer contexts come later and are more exact
-        a = [symbol[(gram >> (8 * (k - 1 - x))) & 255] for x in range(k)]
-        node[(slice(None),) * (ORDER - k) + tuple(a)] = i
-    return Model(languages, symbol, node.reshape(-1), bits.reshape(-1, len(languages)))
+    contexts = [np.unique(t[1] >> 8) for t in tables]  # by length; the empty one is 0
+    first = np.cumsum([0, *map(len, contexts)])
+    parent, escape = np.zeros(first[-1], np.int32), np.zeros((first[-1], len(languages)), np.float32)
+    keys, bits = [], []
+    for k, (of, string, count) in enumerate(tables):
+        node = first[k] + np.searchsorted(contexts[k], string >> 8)
+        group = node * len(languages) + of
+        total = np.bincount(group, count, first[-1] * len(languages)).reshape(-1, len(languages))
+        kinds = np.bincount(group, minlength=first[-1] * len(languages)).reshape(-1, len(languages))
+        known = kinds > 0
+        escape[known] = -np.log2(kinds[known] / (total[known] + kinds[known]))
+        key, entry = np.unique(node * width + symbol[string & 255], return_inverse=True)
+        row = escape[key // width].astype(np.float64)
+        if k:
+            own = np.arange(first[k], first[k + 1])
+            shorter = contexts[k] & (1 << 8 * (k - 1)) - 1
+            parent[own] = first[k - 1] + np.searchsorted(contexts[k - 1], shorter)
+            row += bits[-1][np.searchsorted(keys[-1], parent[key // width].astype(np.int64) * width + key % width)]
+        else:
+            row += 8.0
+        row[entry, of] = -np.log2(count / (total[node, of] + kinds[node, of]))
+        keys.append(key)
+        bits.append(row)
+    nodes = np.zeros((width,) * ORDER, np.int32)
+    for k in range(1, ORDER + 1):  # longer contexts come later and are more exact
+        digits = tuple(symbol[contexts[k] >> 8 * (k - 1 - x) & 255] for x in range(k))
+        place = np.arange(first[k], first[k + 1], dtype=np.int32)
+        if k == ORDER:
+            nodes[digits] = place
+        else:
+            nodes[(slice(None),) * (ORDER - k) + digits] = place
+    return Model(languages, symbol, nodes.reshape(-1), parent, Slots(np.concatenate(keys)), np.concatenate(bits).astype(np.float32), escape)
 
 
 def _sample(docs: DataFrame, sample_docs: int, id_column: str, text: str, lang: str) -> DataFrame | None:
@@ -212,37 +274,30 @@ def _sample(docs: DataFrame, sample_docs: int, id_column: str, text: str, lang:
     return rows.where(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) < F.element_at(rate, F.col("lang")) * (1 << 30))
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, cells: int = CELLS, id_column: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, id_column: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """The model of a sample of the labelled rows that are not held out."""
     picked = _sample(docs, sample_docs, id_column, text, lang)
     if picked is None:
-        return build([], cells)
-    counted = grams(picked.select("t", "lang")).collect()  # bounded by the sample
-    return build([tuple(r) for r in counted], cells)
+        return build([])
+    return build(grams(picked.select("t", "lang")).toArrow())  # bounded by the sample
+
 
+def fit_with_limits(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, id_column: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
+    """The model of `fit`, with limits on the bits per byte.
 
-def fit_with_limits(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, cells: int = CELLS, id_column: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """The model of `fit`, with limits on the bits per byte."""
+    Both halves of the sample are coded in tasks; one rate for each sampled text comes to the driver.
+    """
     picked = _sample(docs, sample_docs, id_column, text, lang)
     if picked is None:
-        return build([], cells)
+        return build([])
     # A sample by a hash of the id, halved by another one.
     picked = cut(picked.select("t", "lang", F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("half")), F.lit(2)).cast("int").alias("half")))
-    halves = [[tuple(r) for r in grams(picked.where(F.col("half") == h).select("t", "lang")).collect()] for h in (0, 1)]
-    total: dict[tuple[str, int, int], int] = {}
-    for name, size, gram, n in [*halves[0], *halves[1]]:
-        total[name, size, gram] = total.get((name, size, gram), 0) + n
-    model = build([(*key, n) for key, n in total.items()], cells)
-    del total
+    halves = [grams(picked.where(F.col("half") == h).select("t", "lang")).toArrow() for h in (0, 1)]
+    model = build(pa.concat_tables(halves))
     own: dict[str, list[tuple[float, int]]] = {}
     for h in (0, 1):
-        # The sample is bounded, and its texts pass one by one: no task has to hold one more model.
-        other = build(halves[1 - h], cells // 4)
-        for r in picked.where((F.col("half") == h) & F.col("lang").isin(other.languages)).select("t", "lang").toLocalIterator():
-            if HAS_LETTER.search(r["t"]):
-                data = r["t"].encode()
-                bits = float(other.lengths([data])[0, other.languages.index(r["lang"])])
-                own.setdefault(r["lang"], []).append((bits / len(data), len(data)))
+        for name, rate, size in _rates(picked.where(F.col("half") == h), build(halves[1 - h])).collect():
+            own.setdefault(name, []).append((rate, size))
     for name, found in own.items():
         rate, size = (np.array(x, float) for x in zip(*found))
         middle = np.median(rate)
@@ -251,6 +306,23 @@ def fit_with_limits(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, cells: int
     return model
 
 
+def _rates(rows: DataFrame, model: Model) -> DataFrame:
+    """(lang, bits per byte, bytes) of texts (t, lang) with a letter, under their own language."""
+    out = columns("lang string, rate double, size long")
+    arrow_out = arrow(out)
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {lang: i for i, lang in enumerate(sent.value.languages)}
+        for batch in small(batches, "t", SLICE_BYTES):
+            pairs = [(lang, t.encode()) for t, lang in zip(batch.column("t").to_pylist(), batch.column("lang").to_pylist()) if lang in number and HAS_LETTER.search(t)]
+            if pairs:
+                bits = sent.value.lengths([t for _, t in pairs])[np.arange(len(pairs)), [number[lang] for lang, _ in pairs]]
+                yield record(arrow_out, [[lang for lang, _ in pairs], [b / len(t) for b, (_, t) in zip(bits.tolist(), pairs)], [len(t) for _, t in pairs]])
+
+    return rows.select("t", "lang").mapInArrow(code, out)
+
+
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The `keep` columns (all if None) with `lang_pred` and `score` of each row's text."""
     names = docs.columns if keep is None else keep
@@ -264,7 +336,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, read, 1 << 18):
+        for batch in small(batches, read, SLICE_BYTES):
             found = sent.value.predict(batch.column(read).to_pylist())
             yield record(arrow_out, [*[batch.column(k) for k in kept], *zip(*found)])
 
@@ -290,7 +362,7 @@ def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, read, 1 << 18):
+        for batch in small(batches, read, SLICE_BYTES):
             kept = batch.filter(pa.array(sent.value.fits(batch.column(read).to_pylist()), pa.bool_()))
             yield record(arrow_out, [kept.column(n) for n in names])
 
