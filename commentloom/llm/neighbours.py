@@ -11,7 +11,8 @@ Equal vectors are searched once and expanded to their smallest ids, so a vector
 all rows hold costs no more than another. Inner products are sums in index order in double
 precision. Vectors that are null, zero, or hold a null or non-finite component take no part, nor do
 rows with a null id; shorter vectors count as filled up with zeros. A row that repeats an id and
-its vector counts once. Ties go to the smaller id.
+its vector counts once. Ties go to the smaller id, also where a whole block ties. Other columns are not
+read, whatever their names.
 
 On vectors without structure (independent directions, as in the given table) no ordering of few
 coordinates says much about 64, and recall follows from the share of the vectors that is looked at:
@@ -39,6 +40,8 @@ BITS = 10
 WINDOW = 0.07
 BLOCK = 1024
 SEED = 7
+#: Queries that meet a block in one task call.
+ASKING = 4096
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -173,20 +176,27 @@ def search(
         "block", F.expr(f"cast((rank - 1) div {rows_per_block} as int)")
     )
     at = ranked.groupBy("asks", "vid").agg(F.collect_list(F.struct("curve", "block")).alias("at"))  # one per ordering
+    # A block's queries are dealt to parts of about `ASKING`, and each part has the block's rows.
+    parts = max(1, math.ceil(points.count() * (2 * reach + 1) * rows_per_block / (max(1, n) * ASKING)))
     rows = (
-        held.select("vid", "v").join(at.where("not asks").select("vid", "at"), "vid").select("vid", "v", F.inline("at"))
+        held.select("vid", "v")
+        .join(at.where("not asks").select("vid", "at"), "vid")
+        .select("vid", "v", F.inline("at"))
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     )
     near = F.sequence(F.col("place.block") - reach, F.col("place.block") + reach)
     visits = (
         points.join(at.where("asks").select("vid", "at"), "vid")
         .select("vid", "v", F.explode("at").alias("place"))
         .select("vid", "v", F.col("place.curve").alias("curve"), F.explode(near).alias("block"))
+        .withColumn("part", F.pmod(F.xxhash64("vid"), F.lit(parts)).cast("int"))
     )
 
     def best(there: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         if not len(there) or not len(asking):
             return pd.DataFrame([], columns=["q", "vids", "scores"], dtype=object)
         a, vids = _matrix(there["v"], width), there["vid"].to_numpy()
+        longest_here = (a**2).sum(axis=1).max()
         out = []
         for start in range(0, len(asking), 256):
             part = asking.iloc[start : start + 256]
@@ -194,17 +204,24 @@ def search(
             rough = q @ a.T
             take = min(k + 1 + 8, len(vids))
             picked = np.argpartition(-rough, take - 1, axis=1)[:, :take]
-            # Rows whose product could tie with the last one taken are not told apart by the
-            # rough product; the slack covers its rounding, and ids decide among the exact ones.
             score = inner(a[picked], q[:, None, :])
             order = np.lexsort((vids[picked], -score), axis=1)[:, : k + 1]
-            chosen = np.take_along_axis(picked, order, 1)
-            for query, c, s in zip(part["vid"], vids[chosen], np.take_along_axis(score, order, 1)):
+            chosen, best_scores = np.take_along_axis(picked, order, 1), np.take_along_axis(score, order, 1)
+            # A row that was not taken has at most the least rough product taken. Where that could tie with
+            # the last place, all rows of the block are ranked by their exact products.
+            slack = 1e-13 * width * np.sqrt((q**2).sum(axis=1) * longest_here)
+            unsure = np.flatnonzero(np.take_along_axis(rough, picked, 1).min(axis=1) + slack >= best_scores[:, -1])
+            for i in unsure.tolist() if take < len(vids) else ():
+                exact = inner(a, q[i])
+                chosen[i] = np.lexsort((vids, -exact))[: k + 1]
+                best_scores[i] = exact[chosen[i]]
+            for query, c, s in zip(part["vid"], vids[chosen], best_scores):
                 out.append((query, c.tolist(), s.tolist()))
         return pd.DataFrame(out, columns=["q", "vids", "scores"])
 
     merged_schema = "q long, vids array<long>, scores array<double>"
-    found = rows.groupBy("curve", "block").cogroup(visits.groupBy("curve", "block")).applyInPandas(best, merged_schema)
+    dealt = ["curve", "block", "part"]
+    found = rows.groupBy(*dealt).cogroup(visits.groupBy(*dealt)).applyInPandas(best, merged_schema)
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
         vids, scores = (np.concatenate(frame[c].to_list()) for c in ("vids", "scores"))

@@ -73,6 +73,25 @@ def test_recall_on_the_table(spark):
     assert hits >= 0.9 * 20 * len(expected)
 
 
+def test_ties_beyond_a_block_go_to_smaller_ids(spark):
+    """399 distinct vectors with one product, and more queries than a part takes."""
+    rng = np.random.default_rng(2)
+    rows = [(0, [1.0, 0.0, 0.0])] + [(i, [0.5, *rng.normal(size=2).tolist()]) for i in rng.permutation(np.arange(1, 400)).tolist()]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = neighbours.search(table, table.where("vec_id = 0"), window=2.0)
+    assert [r["vec_id"] for r in found.orderBy("rank").collect()] == list(range(1, 21))
+
+
+def test_bounded_asking_groups(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "ASKING", 16)
+    rng = np.random.default_rng(3)
+    held = {i: rng.normal(size=6) for i in range(300)}
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in held.items()], "vec_id long, embedding array<double>")
+    found = neighbours.search(table, table, k=3, window=2.0).collect()
+    expected = exact_neighbours(held, held, 3)
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in found} == {(q, n + 1, i) for q, answers in expected.items() for n, (i, _) in enumerate(answers)}
+
+
 @pytest.mark.parametrize("block_bytes, order", [(600, 3), (32 << 20, 5)])
 def test_backoff_scores(docs, no_docs, block_bytes, order):
     rows = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.select("doc_id", "text").collect()]
@@ -140,7 +159,7 @@ def test_code_lengths_are_exact():
     text = b"abracadabra abrac"
     counted = [("l", k, int.from_bytes(text[max(0, p + 1 - k) : p + 1], "big"), 1) for p in range(len(text)) for k in [min(p + 1, 4)]]
     folded = [(*key, n) for key, n in Counter((lang, k, g) for lang, k, g, _ in counted).items()]
-    model = language.build(folded, min_count=1)
+    model = language.build(folded)
     after = {}
     for p in range(len(text)):
         for k in range(0, min(p, 3) + 1):
