@@ -103,7 +103,7 @@ def gram_hashes(rows: DataFrame, length: int, gram: int) -> DataFrame:
     arrow_out = arrow(out)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, "t", 8 << 20):
+        for batch in small(batches, "t", 2 << 20):
             grams: list[int] = []
             for t in batch.column("t").to_pylist():
                 data = t.encode()
@@ -119,7 +119,7 @@ def found_anchors(rows: DataFrame, length: int, gram: int) -> DataFrame:
     arrow_out = arrow(out)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, "t", 8 << 20):
+        for batch in small(batches, "t", 2 << 20):
             grams, contexts, texts, at = [], [], [], []
             for text, t in zip(batch.column("text").to_pylist(), batch.column("t").to_pylist()):
                 data = t.encode()
@@ -273,7 +273,7 @@ def _suffixes(rows: DataFrame, wanted: DataFrame, length: int, gram: int) -> Dat
     arrow_out = arrow(out)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, "t", 4 << 20):
+        for batch in small(batches, "t", 2 << 20):
             found = []
             for t, places in zip(batch.column("t").to_pylist(), batch.column("places").to_pylist()):
                 data = t.encode()
@@ -388,7 +388,7 @@ def report(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lengt
     arrow_out = arrow(out)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, "t", 8 << 20):
+        for batch in small(batches, "t", 2 << 20):
             done = []
             for t, spans in zip(batch.column("t").to_pylist(), batch.column("spans").to_pylist()):
                 data, merged = t.encode(), _merged(spans)
@@ -400,22 +400,25 @@ def report(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lengt
 
 
 def strip(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """`docs` with the repeated bytes taken out of their texts, all rows and columns kept.
+    """`docs` with the repeated bytes taken out of their texts, all rows and columns kept, whatever their names.
 
     Bytes of a character that is cut in two go as well. Null texts stay null.
     """
-    keep = [c for c in docs.columns if c != text]
-    rows = _with_spans(docs.withColumn("__null", F.col(f"`{text}`").isNull()), text, length, gram, [*keep, "__null"])
-    names = [f"k{i}" for i in range(len(keep))]
+    at = docs.columns.index(text)
+    kept = [f"c{i}" for i in range(len(docs.columns)) if i != at]
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).withColumn("none", F.col(f"c{at}").isNull())
+    rows = _with_spans(numbered, f"c{at}", length, gram, [*kept, "none"])
+    names = [f"k{i}" for i in range(len(kept))]
     out = T.StructType([*[rows.schema[c] for c in names], T.StructField("rest", T.StringType())])
     arrow_out = arrow(out)
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, "t", 8 << 20):
+        for batch in small(batches, "t", 2 << 20):
             texts = []
-            for t, spans, none in zip(*(batch.column(c).to_pylist() for c in ("t", "spans", f"k{len(keep)}"))):
+            for t, spans, none in zip(*(batch.column(c).to_pylist() for c in ("t", "spans", f"k{len(kept)}"))):
                 texts.append(None if none else _kept(t.encode(), _merged(spans)).decode("utf-8", "ignore") if spans else t)
             yield record(arrow_out, [*[batch.column(c) for c in names], texts])
 
     done = rows.mapInArrow(cut_out, out)
-    return done.select(*[F.col("rest").alias(c) if c == text else F.col(names[keep.index(c)]).alias(c) for c in docs.columns])
+    places = {f"c{at}": "rest"} | dict(zip(kept, names))
+    return done.select(*[F.col(places[f"c{i}"]).alias(c) for i, c in enumerate(docs.columns)])

@@ -11,6 +11,7 @@ import xxhash
 
 import corpus_pipeline
 from commentloom.llm import components, exact, similar, simhash, substrings
+from pyspark.sql import functions as F
 
 
 def test_perfect_hash():
@@ -243,3 +244,25 @@ def test_near_copies_go_by_row(spark):
     expected = sorted([(1, text), (None, other), (None, third), (7, fourth), (7, "x y z")], key=str)
     for kept in (simhash.keep_one(docs), similar.keep_one(docs)):
         assert sorted(map(tuple, kept.collect()), key=str) == expected
+
+
+def test_pages_of_one_template_fall_apart(spark, monkeypatch):
+    """2,000 pages at similarity 0.6 share keys, but need no round of pivots; near copies among them are found."""
+    rng = random.Random(8)
+    template = " ".join(f"t{i}" for i in range(152))
+    own = lambda n: " ".join(f"o{rng.randrange(10**9)}" for _ in range(n))
+    texts = [f"{template} {own(48)}" for _ in range(2000)]
+    texts += [texts[5] + " more", texts[5] + " other", texts[9] + " end"]
+    made = []
+    monkeypatch.setattr(similar, "cut", lambda df, real=similar.cut: made.append(df) or real(df))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    kept = sorted(r["doc_id"] for r in similar.keep_one(docs, most=64).collect())
+    assert kept == list(range(2000))
+    assert len(made) < 20
+
+
+def test_users_columns_survive_stripping(spark, docs):
+    frame = docs.withColumns({c: F.lit("mine") for c in ("__null", "__key", "none", "rest", "spans", "k1")})
+    stripped = substrings.strip(frame)
+    assert stripped.columns == frame.columns
+    assert {tuple(r) for r in stripped.select("__null", "__key", "none", "rest", "spans", "k1").collect()} == {("mine",) * 6}
