@@ -89,3 +89,36 @@ def numbered(df: DataFrame, group: str, order: list[str], to: str) -> DataFrame:
         .withColumn(to, (F.col("_at") - F.col("_first") + F.col("_before") + 1).cast("long"))
         .drop("_at", "_g", "_p", "_first", "_before")
     )
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, Column]]) -> DataFrame:
+    """`df` with running totals: `{to: ("sum" or "max", column)}`, up to and with each row of its group in `order`.
+
+    As in `numbered`, a group of any size is spread over range partitions: each has totals of its own, and
+    what comes before a partition is known from one row for each group and partition. Nulls do not count.
+    """
+    total = {"sum": F.sum, "max": F.max}
+    inputs = {to: column.alias(f"_{to}") for to, (_, column) in values.items()}
+    spread = df.select("*", *inputs.values()).repartitionByRange(*[F.col(c) for c in [*keys, *order]])
+    placed = cut(spread.sortWithinPartitions(*keys, *order).withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_p", F.shiftright(F.col("_at"), 33))
+    pieces = placed.groupBy(*keys, "_p").agg(*[total[kind](f"_{to}").alias(f"_{to}") for to, (kind, _) in values.items()])
+    before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = pieces.select(
+        *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)],
+        F.col("_p").alias("_q"),
+        *[total[kind](f"_{to}").over(before).alias(f"_before_{to}") for to, (kind, _) in values.items()],
+    )
+    here = Window.partitionBy(*keys, "_p").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    own = placed.select(
+        *df.columns, "_p", *[total[kind](f"_{to}").over(here).alias(f"_own_{to}") for to, (kind, _) in values.items()]
+    )
+    same = F.col("_p") == F.col("_q")
+    for i, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+
+    def joined(to: str, kind: str) -> Column:
+        a, b = F.col(f"_own_{to}"), F.col(f"_before_{to}")
+        return (F.coalesce(a + b, a, b) if kind == "sum" else F.greatest(a, b)).alias(to)
+
+    return own.join(earlier, same).select(*df.columns, *[joined(to, kind) for to, (kind, _) in values.items()])

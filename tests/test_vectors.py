@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from commentloom.config import ClusteringSettings
-from commentloom.operators import cluster, density, forest, kmeans, layout, neighbours, silhouette, vectors
-from commentloom.runtime import cut
+from commentloom.operators import cluster, contraction, density, forest, kmeans, layout, neighbours, silhouette, vectors
+from commentloom.runtime import cut, running
 
 SETTINGS = ClusteringSettings()
 RNG = np.random.default_rng(3)
@@ -132,6 +132,47 @@ def test_clusters_by_joins_equal_clusters_in_one_task(edges):
     assert label(0) == inside
 
 
+def chain_of_blobs(rng, blobs, order):
+    """Edges of a tree: small stars in a chain whose links grow by `order`."""
+    edges, first = [], 0
+    for i in range(blobs):
+        n = int(rng.integers(5, 9))
+        edges += [("q", float(rng.integers(1, 5)) / 10, first, first + j) for j in range(1, n)]
+        if i:
+            edges.append(("q", 1.0 + float(order[i]), last, first))
+        last, first = first + n - 1, first + n
+    return edges
+
+
+@pytest.mark.parametrize("shape", ["rising", "falling", "mixed"])
+def test_contraction_of_a_chain(spark, monkeypatch, shape):
+    """As in one task, in no more rounds than twice the logarithm of the number of splits."""
+    rng = np.random.default_rng(7)
+    n = 40
+    order = {"rising": np.arange(n), "falling": np.arange(n)[::-1], "mixed": rng.permutation(n)}[shape]
+    schema = "question string, weight double, lo bigint, hi bigint"
+    edges = cut(spark.createDataFrame(chain_of_blobs(rng, n, order), schema))
+    rounds = []
+    monkeypatch.setattr(contraction, "join_nearest", lambda live, real=contraction.join_nearest: rounds.append(1) or real(live))
+    label = lambda limit: [tuple(r) for r in density.flat_clusters(edges, 5, limit).orderBy("response_id").collect()]
+    inside = label(10**6)
+    assert len({c for _, _, c in inside}) > 2 and not rounds
+    assert label(0) == inside
+    assert 0 < len(rounds) <= 2 * np.log2(n)
+
+
+def test_running_totals_across_partitions(spark):
+    """Sums and greatest values of groups that lie in several range partitions, nulls left out."""
+    rng = np.random.default_rng(1)
+    rows = [("a" if i < 700 else None, i, None if i % 7 == 0 else float(rng.normal())) for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, i long, x double").repartition(5)
+    found = running(df, ["g"], ["i"], {"total": ("sum", F.col("x")), "top": ("max", F.col("x"))})
+    for r in found.collect():
+        own = [x for g, i, x in rows if g == r["g"] and i <= r["i"] and x is not None]
+        assert (r["total"] is None) == (not own)
+        assert not own or np.isclose(r["total"], sum(own)) and r["top"] == max(own)
+
+
 def test_two_blobs_and_outliers(spark):
     blobs = np.vstack([RNG.normal(0, 0.1, (12, 2)), RNG.normal(9, 0.1, (10, 2)), [[50, 50], [-40, 70], [80, -30]]])
     order = RNG.permutation(len(blobs))
