@@ -120,20 +120,62 @@ def block_pairs(cell_pairs: DataFrame, ordered: bool) -> DataFrame:
     return pairs.where(mine != theirs if ordered else mine < theirs)
 
 
-PAIR_KEYS = ["question", "cell", "sub", "other_cell", "other_sub"]
+# Rows that a task on pairs of blocks holds on either side, about.
+SIDE_ROWS = 131_072
 
 
-def on_pairs(rows: DataFrame, pairs: DataFrame, function, schema: str) -> DataFrame:
-    """Apply `function(left, right)` to the two blocks of each pair, one task call per pair."""
-    left = rows.join(pairs, ["question", "cell", "sub"])
-    # New aliases, as both sides of the cogroup come from the same tables.
-    named = {"cell": "other_cell", "sub": "other_sub"}
-    right = rows.select(*[F.col(c).alias(named.get(c, c)) for c in rows.columns]).join(
-        pairs.select(*[F.col(c).alias(c) for c in pairs.columns]), ["question", "other_cell", "other_sub"]
+def grid(rows: DataFrame, pairs: DataFrame, side_rows: int = SIDE_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a grid of tasks over the pairs of blocks; `row_side, column_side` is a task.
+
+    The blocks of a question are dealt to super-blocks: as many as the root of their number, or more where one would
+    hold more than about `side_rows` rows. A task has those on its left and right that its pairs name, so that
+    a row is copied at most once for each super-block on either side, and not for each block it meets.
+    The left side also has the pairs themselves, as rows with `other_cell` and `other_sub`.
+    """
+    sizes = rows.groupBy("question", "cell", "sub").count().groupBy("question").agg(
+        F.greatest(F.ceil(F.sqrt(F.count("*"))), F.ceil(F.sum("count") / side_rows)).cast("int").alias("_sides")
     )
-    return (
-        left.groupBy(*PAIR_KEYS).cogroup(right.groupBy(*PAIR_KEYS)).applyInPandas(function, schema)
+    # One row for each question.
+    number = lambda cell, sub: F.pmod(F.xxhash64(cell, sub), F.col("_sides")).cast("int")
+    dealt = cut(
+        pairs.join(F.broadcast(sizes), "question")
+        .withColumns({"row_side": number("cell", "sub"), "column_side": number("other_cell", "other_sub")})
+        .drop("_sides")
     )
+    task = ["row_side", "column_side"]
+    wanted = dealt.select("question", "cell", "sub", *task).distinct()
+    # New names, as both sides come from the same tables.
+    wanted_right = dealt.select(
+        "question", F.col("other_cell").alias("cell"), F.col("other_sub").alias("sub"), *[F.col(c).alias(c) for c in task]
+    ).distinct()
+    left = rows.join(wanted, ["question", "cell", "sub"]).unionByName(dealt, allowMissingColumns=True)
+    right = rows.select(*[F.col(c).alias(c) for c in rows.columns]).join(wanted_right, ["question", "cell", "sub"])
+    return left, right
+
+
+def on_pairs(rows: DataFrame, pairs: DataFrame, function, schema: str, merge=None, side_rows: int = SIDE_ROWS) -> DataFrame:
+    """Apply `function(left, right)` to the two blocks of each pair, many pairs in a task call.
+
+    `merge` may fold what a left block has from all of its pairs there.
+    """
+    left, right = grid(rows, pairs, side_rows)
+
+    def run(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        listed = mine[mine["other_cell"].notna()]
+        others = dict(list(theirs.groupby(["cell", "sub"])))
+        held = dict(list(mine[mine["other_cell"].isna()].groupby(["cell", "sub"])))
+        out = []
+        for block, named in listed.groupby(["cell", "sub"]):
+            found = None
+            for cell, sub in zip(named["other_cell"].astype(int), named["other_sub"].astype(int)):
+                more = function(held[block], others[cell, sub])
+                found = more if found is None else pd.concat([found, more], ignore_index=True)
+                found = merge(found) if merge else found
+            out.append(found)
+        return pd.concat(out, ignore_index=True)
+
+    keys = ["question", "row_side", "column_side"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
 
 
 def distinct_points(df: DataFrame) -> DataFrame:
@@ -239,7 +281,12 @@ def nearest_neighbours(blocks: Blocks, k: int) -> DataFrame:
             .applyInPandas(needed, "question string, a int, b int, n_sub_a int, n_sub_b int")
         )
         pairs = cut(block_pairs(cell_pairs, ordered=True))
-        near = near.unionByName(on_pairs(rows, pairs, pair, schema))
+
+        def nearest_only(found: pd.DataFrame) -> pd.DataFrame:
+            order = found.sort_values(["response_id", "distance", "neighbour_id"])
+            return order.groupby("response_id", sort=False).head(k)
+
+        near = near.unionByName(on_pairs(rows, pairs, pair, schema, nearest_only))
     order = Window.partitionBy("question", "response_id").orderBy("distance", "neighbour_id")
     return (
         near.where(F.col("neighbour_id").isNotNull())

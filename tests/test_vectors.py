@@ -235,6 +235,89 @@ def test_kmeans(spark):
     assert best.first()["k"] == 3 and chosen.count() == 45
 
 
+def within(x, parts):
+    return sum(((x[list(p)] - x[list(p)].mean(axis=0)) ** 2).sum() for p in parts)
+
+
+def partitions(n, k):
+    """All partitions of range(n) into k parts."""
+    def grow(i, parts):
+        if i == n:
+            if len(parts) == k:
+                yield [list(p) for p in parts]
+            return
+        for p in parts:
+            p.append(i)
+            yield from grow(i + 1, parts)
+            p.pop()
+        if len(parts) < k:
+            parts.append([i])
+            yield from grow(i + 1, parts)
+            parts.pop()
+    return grow(0, [])
+
+
+@pytest.mark.parametrize("task_rows", [100, 0])
+def test_kmeans_against_all_partitions(spark, task_rows):
+    """The least within-sum there is, in one task and by passes over the table."""
+    rng = np.random.default_rng(6)
+    sets = {f"q{i}": rng.normal(size=(8, 2)) for i in range(3)}
+    rows = cut(frame(spark, sets))
+    models = kmeans.kmeans(rows, [2, 3], n_start=6, task_rows=task_rows).toPandas()
+    for q, x in sets.items():
+        for k in (2, 3):
+            of = models[(models["question"] == q) & (models["k"] == k)].groupby("cluster")["response_id"].apply(list)
+            assert len(of) == k
+            assert within(x, of) <= min(within(x, p) for p in partitions(8, k)) * (1 + 1e-9)
+
+
+def test_single_moves_go_on_where_passes_rest():
+    """A start at which every row is next to its own centre, and one row still gains by a move."""
+    x = np.array([[0.0], [1.0], [2.4], [9.0]]) * 1.0
+    run = lambda m: {q: kmeans._lines(x, held) for q, held in m.items()}
+    moves = lambda m, sums: {q: kmeans._best_moves(x, held, sums[q]) for q, held in m.items()}
+    rested, _ = kmeans._improve({"q": [(2, 0, np.array([[0.0], [4.0]]))]}, 50, run)
+    best = kmeans._fit({"q": [(2, 0, np.array([[0.0], [4.0]]))]}, 50, run, moves)
+    assert run(best)["q"][:, 1].sum() <= run(rested)["q"][:, 1].sum()
+    assert np.isclose(sorted(best["q"][0][2].ravel()), [3.4 / 3, 9.0]).all()
+
+
+@pytest.mark.parametrize("block_rows", [16_384, 25])
+def test_scores_of_all_k_in_one_pass(spark, rows, block_rows):
+    """As one silhouette for each k, copies included, in one block and in many."""
+    models = cut(kmeans.labels(rows, [2, 3, 5], n_start=2))
+    found = {(r["question"], r["k"]): r["silhouette"] for r in silhouette.sweep(models, block_rows).collect()}
+    for i, k in enumerate((2, 3, 5)):
+        one = models.select("question", "response_id", "embedding", F.col("labels")[i].alias("cluster"))
+        for r in silhouette.silhouette(one).collect():
+            assert np.isclose(found[r["question"], k], r["silhouette"])
+    assert len(found) == 6
+
+
+def test_copies_of_a_row_grow_with_the_root_of_the_blocks(spark):
+    """36 blocks that all meet: twelve copies of a row at most, not 36; and the neighbours are those of one block."""
+    points = np.random.default_rng(9).normal(size=(288, 8))
+    df = cut(frame(spark, {"q": points}))
+    rows = df.select("*", F.lit(0).alias("cell"), (F.col("response_id") % 36).cast("int").alias("sub"))
+    cells = spark.createDataFrame([("q", 0, 0, 36, 36)], "question string, a int, b int, n_sub_a int, n_sub_b int")
+    left, right = neighbours.grid(rows, cut(neighbours.block_pairs(cells, ordered=True)))
+    of = lambda side: side.where(F.col("response_id").isNotNull()).groupBy("response_id").count().agg(F.max("count")).first()[0]
+    assert of(left) + of(right) <= 2 * 36**0.5
+    near = lambda block: set(map(tuple, neighbours.knn(df, 4, block).collect()))
+    assert near(16_384) == near(8)
+
+
+def test_pairs_of_blocks_give_cross_edges_only(spark):
+    rng = np.random.default_rng(2)
+    import pandas as pd
+
+    side = lambda first: pd.DataFrame({"question": "q", "response_id": np.arange(first, first + 20) * 7 % 41, "embedding": list(rng.normal(size=(20, 3))), "core": rng.random(20), "cell": 0})
+    left, right = side(0), side(20)
+    edges = forest._cross_tree(left, right)
+    mine = set(left["response_id"])
+    assert len(edges) == 39 and all((a in mine) != (b in mine) for a, b in zip(edges["lo"], edges["hi"]))
+
+
 def test_fallback_when_all_is_noise(spark):
     line = np.column_stack([np.arange(12) ** 2.0, np.zeros(12)])
     blobs = np.vstack([RNG.normal(0, 0.1, (12, 2)), RNG.normal(9, 0.1, (12, 2))])
