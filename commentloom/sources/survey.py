@@ -17,12 +17,11 @@ from pyspark.sql.types import StringType, StructField, StructType
 from commentloom.config import DEFAULT_QUESTIONS
 from commentloom.functions.text import utrim
 from commentloom.runtime import name
+from commentloom.sources.records import records
 
 log = logging.getLogger(__name__)
 
 ID_COLUMNS = ("ResponseId", "UserLanguage")
-# Charsets the CSV reader decodes by itself.
-NATIVE_CHARSETS = {"utf-8", "us-ascii", "iso-8859-1", "utf-16", "utf-16le", "utf-16be", "utf-32"}
 SAMPLE_BYTES = 10_000
 
 
@@ -37,33 +36,6 @@ def nulled(col: Column) -> Column:
     return F.when((trimmed != "") & (trimmed != "NA"), trimmed)
 
 
-def _decoded(col: Column, encoding: str) -> Column:
-    """Text of `encoding` from cells that were read byte by byte as ISO-8859-1.
-
-    The upper half of a single-byte charset is remapped in the plan. Multi-byte charsets, whose
-    later bytes are never a tab, quote or line end, are decoded on Arrow batches.
-    """
-    try:
-        kind = codecs.lookup(encoding).name
-    except LookupError as problem:
-        raise ValueError(f"unknown charset {encoding!r}") from problem
-    if kind in _MULTI_BYTE:
-
-        @F.pandas_udf(StringType())
-        def decode(cells: pd.Series) -> pd.Series:
-            return cells.map(lambda t: t.encode("latin-1").decode(kind, errors="replace"), na_action="ignore")
-
-        return decode(col)
-    upper = bytes(range(0x80, 0x100))
-    target = "".join(bytes([b]).decode(encoding, errors="replace") for b in upper)
-    if bytes(range(0x80)).decode(encoding, errors="replace") != bytes(range(0x80)).decode("ascii"):
-        raise ValueError(f"charset {encoding!r} does not hold ASCII")
-    return F.translate(col, upper.decode("latin-1"), target)
-
-
-_MULTI_BYTE = {"shift_jis", "euc_jp", "euc_kr", "gb2312", "gbk", "gb18030", "big5", "cp932", "cp949", "cp950"}
-
-
 def read_survey(
     spark: SparkSession,
     path: str | list[str],
@@ -74,29 +46,47 @@ def read_survey(
     """Survey export as strings, chosen columns only; a missing column is an error.
 
     Columns are found by header name, so exports may carry other columns. Several files must have
-    one charset and one header; `read_files` takes any. The first `label_rows` rows of each file
+    one charset and one header; `read_files` takes any. A file is read by as many tasks as it has blocks. The first `label_rows` rows of each file
     that has as many are left out.
     """
-    native = encoding.lower() in NATIVE_CHARSETS
-    reader = spark.read.options(
-        sep="\t", header=True, multiLine=True, quote='"', escape='"',
-        inferSchema=False, encoding=encoding if native else "ISO-8859-1",
-    )
-    raw = reader.csv(path)
-    wanted = [name(c) for c in (*ID_COLUMNS, *questions)]
-    chosen = raw.select(*wanted)
-    if label_rows:
-        # A file is read by one task, so its rows have consecutive numbers.
-        placed = raw.select(*wanted, F.col("_metadata.file_path").alias("_file")).withColumn("_row", F.monotonically_increasing_id())
-        firsts = placed.groupBy("_file").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
-        label = (F.col("_row") - F.col("_first") < label_rows) & (F.col("_n") >= label_rows)
-        chosen = placed.join(firsts, "_file").where(~label).select(*wanted)
-    return chosen.select(
-        *[
-            nulled(name(c) if native else _decoded(name(c), encoding)).alias(c)
-            for c in (*ID_COLUMNS, *questions)
-        ]
-    )
+    try:
+        kind = codecs.lookup(encoding).name
+    except LookupError as problem:
+        raise ValueError(f"unknown charset {encoding!r}") from problem
+    wanted = [*ID_COLUMNS, *questions]
+    if kind.startswith(("utf-16", "utf-32")):
+        chosen = _whole_files(spark, path, wanted, encoding, label_rows)
+    else:
+        if bytes(range(0x80)).decode(kind, errors="replace") != bytes(range(0x80)).decode("ascii"):
+            raise ValueError(f"charset {encoding!r} does not hold ASCII")
+        header = next(iter(file_heads(spark, path, kind).select("header").take(1)), [[]])[0]
+        missing = [c for c in wanted if c not in header]
+        if missing:
+            raise ValueError(f"no column {', '.join(missing)} in {path}")
+        # Header names may repeat or be empty; only the wanted ones need names of their own.
+        named = [c if c in wanted and header.index(c) == i else f"_{i}" for i, c in enumerate(header)]
+        schema = StructType([StructField(c, StringType()) for c in named])
+        # The settings of Spark's parser for whole files, here for one record at a time.
+        options = {"sep": "\t", "quote": '"', "escape": '"', "multiLine": "true"}
+        cells = F.from_csv("record", ", ".join(f"`{c.replace('`', '``')}` string" for c in schema.names), options)
+        parsed = records(spark, path, kind, label_rows).select(cells.alias("c"))
+        chosen = parsed.select(*[F.col("c").getField(c).alias(c) for c in wanted])
+    return chosen.select(*[nulled(name(c)).alias(c) for c in wanted])
+
+
+def _whole_files(spark: SparkSession, path: str | list[str], wanted: list[str], encoding: str, label_rows: int) -> DataFrame:
+    """Files whose line ends take several bytes, each read by one task."""
+    raw = spark.read.options(
+        sep="\t", header=True, multiLine=True, quote='"', escape='"', inferSchema=False, encoding=encoding
+    ).csv(path)
+    wanted = [name(c) for c in wanted]
+    if not label_rows:
+        return raw.select(*wanted)
+    # A file is read by one task, so its rows have consecutive numbers.
+    placed = raw.select(*wanted, F.col("_metadata.file_path").alias("_file")).withColumn("_row", F.monotonically_increasing_id())
+    firsts = placed.groupBy("_file").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    label = (F.col("_row") - F.col("_first") < label_rows) & (F.col("_n") >= label_rows)
+    return placed.join(firsts, "_file").where(~label).select(*wanted)
 
 
 def drop_label_rows(df: DataFrame, n: int = 2) -> DataFrame:
@@ -143,14 +133,14 @@ def read_files(
     return reduce(DataFrame.unionByName, scans)
 
 
-def file_heads(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """`path, encoding, confidence, header` of each file, from its first 10,000 bytes."""
+def file_heads(spark: SparkSession, path: str | list[str], encoding: str | None = None) -> DataFrame:
+    """`path, encoding, confidence, header` of each file, from its first 10,000 bytes; `encoding` if it is known."""
 
     def inspect(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         head = bytes(frame["head"].iloc[0])
-        confidence, encoding = max((c, e) for e, c in _candidates(head))
-        first = next(csv.reader(codecs.decode(head, encoding, "ignore").lstrip("\ufeff").splitlines(True), delimiter="\t"), [])
-        return pd.DataFrame([(key[0], encoding, confidence, first)], columns=["path", "encoding", "confidence", "header"])
+        confidence, found = (100, encoding) if encoding else max((c, e) for e, c in _candidates(head))
+        first = next(csv.reader(codecs.decode(head, found, "ignore").lstrip("\ufeff").splitlines(True), delimiter="\t"), [])
+        return pd.DataFrame([(key[0], found, confidence, first)], columns=["path", "encoding", "confidence", "header"])
 
     return _heads(spark, path).groupBy("path").applyInPandas(
         inspect, "path string, encoding string, confidence int, header array<string>"
@@ -172,7 +162,8 @@ def _heads(spark: SparkSession, path: str | list[str]) -> DataFrame:
                 head = held.setdefault(file, bytearray())
                 if len(head) < SAMPLE_BYTES:
                     head += bytes(line)[:SAMPLE_BYTES] + b"\n"
-        yield pd.DataFrame({"path": list(held), "head": [bytes(h[:SAMPLE_BYTES]) for h in held.values()]})
+        if held:
+            yield pd.DataFrame({"path": list(held), "head": [bytes(h[:SAMPLE_BYTES]) for h in held.values()]})
 
     # Lines of a file's first block are in one task, in order.
     return lines.where("at = 0").select("path", "line").mapInPandas(first, "path string, head binary")

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 import pytest
@@ -36,9 +38,52 @@ def test_multi_byte_charset_is_decoded(spark, tmp_path):
     assert survey.read_survey(spark, path, ["Q4.2"], "shift_jis").first()["Q4.2"] == "とても良いサービス"
 
 
-def test_unknown_charset_is_refused():
-    with pytest.raises(ValueError):
-        survey._decoded(F.lit("x"), "no-such-charset")
+def test_unknown_charset_is_refused(spark, tmp_path):
+    path = write(tmp_path / "c.tsv", HEAD)
+    for encoding in ("no-such-charset", "cp037"):
+        with pytest.raises(ValueError):
+            survey.read_survey(spark, path, ["Q4.2"], encoding)
+
+
+@pytest.fixture
+def small_splits(spark):
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "shift_jis"])
+def test_one_file_is_read_by_many_tasks(spark, tmp_path, small_splits, encoding):
+    """Quoted line breaks, tabs and quotes, also in a cell over several blocks, as one task for the file reads them."""
+    rng = random.Random(3)
+    odd = ["plain", '"two\nlines"', '"a ""quoted"" word"', '"tab\there"', '5" screen', "", "NA", '"\r\nend"', "  pad ", '"良い\n\n\"\"x"'.replace('\\"', '"')]
+    body = [HEAD.rstrip("\n").replace("\n", "")]
+    for i in range(12_000):
+        cells = [rng.choice(odd) for _ in range(3)]
+        if i in (4000, 9000):
+            cells[1] = '"' + "\n".join(f'long ""line"" {j}\t良い' for j in range(9000)) + '"'
+        body.append("\t".join([f"r{i}", "en", *cells]))
+    path = write(tmp_path / "c.tsv", "\n".join(body) + "\n", encoding)
+    chosen = survey.read_survey(spark, path, ["Q4.2", "Q4.3"], encoding)
+    assert chosen.rdd.getNumPartitions() > 4
+    plain = write(tmp_path / "plain.tsv", "\n".join(body) + "\n")
+    whole = survey._whole_files(spark, plain, ["ResponseId", "UserLanguage", "Q4.2", "Q4.3"], "utf-8", 0)
+    whole = whole.select(*[survey.nulled(survey.name(c)).alias(c) for c in whole.columns])
+    found, expected = (sorted(map(tuple, df.collect()), key=str) for df in (chosen, whole))
+    assert len(found) == 12_000 and found == expected
+
+
+def test_label_rows_beyond_the_first_block(spark, tmp_path, small_splits):
+    """The second label row ends in a later block; a file with one row keeps it."""
+    long = '"' + "x\n" * 60_000 + '"'
+    write(tmp_path / "a.tsv", f"ResponseId\tUserLanguage\tQ4.2\nl1\ta\tb\nl2\ta\t{long}\nr1\ten\tx\n")
+    write(tmp_path / "b.tsv", "ResponseId\tUserLanguage\tQ4.2\nr2\ten\ty")
+    write(tmp_path / "c.tsv", "ResponseId\tUserLanguage\tQ4.2\n\nl1\ta\tb\nl2\ta\tb\n")
+    rows = survey.read_survey(spark, [f"{tmp_path}/{c}.tsv" for c in "abc"], ["Q4.2"], label_rows=2)
+    assert sorted(map(tuple, rows.collect())) == [("r1", "en", "x"), ("r2", "en", "y")]
 
 
 SAMPLES = {
