@@ -3,6 +3,7 @@ import sys
 import uuid
 
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 import pytest
 
@@ -193,3 +194,55 @@ def test_compaction_keeps_results(spark, tmp_path):
     assert {tuple(r) for r in store.load().collect()} == before and len(before) == store.load().count() == 4
     enrich.translate_with(frame(spark, [(1, "a", "it"), (2, "d", "it")]), provider, store, retry=QUICK).collect()
     assert len(provider.calls()) == calls
+
+
+def keyed(spark, keys):
+    return spark.createDataFrame([(k, k.upper()) for k in keys], "request_key string, text string")
+
+
+def stored(df):
+    return df.select("request_key", F.lit("ok").alias("status"), F.col("text").alias("value"))
+
+
+def test_readers_keep_their_snapshot(spark, tmp_path):
+    """A plan made before a compaction and later commits still reads what it saw; vacuum deletes old commits."""
+    store = ResultStore(spark, str(tmp_path / "s"), "any/provider id", StringType())
+    store.ensure(keyed(spark, "abc"), stored)
+    store.ensure(keyed(spark, "bcde"), stored)
+    reader = store.load()
+    assert len(store.commits()) == 2 and store.snapshots() == [1, 2]
+    store.compact()
+    store.ensure(keyed(spark, "xy"), stored)
+    assert sorted(r["request_key"] for r in reader.collect()) == list("abcde")
+    assert len(store.commits()) == 2 and sorted(r["request_key"] for r in store.load().collect()) == list("abcdexy")
+    store.vacuum()
+    assert store.snapshots() == [4] and sorted(r["request_key"] for r in store.load().collect()) == list("abcdexy")
+    assert len([p for p in (tmp_path / "s").glob("*/commit=*")]) == 2
+
+
+def test_commits_of_two_runs_both_count(spark, tmp_path, monkeypatch):
+    one, two = (ResultStore(spark, str(tmp_path / "s"), "p", StringType()) for _ in range(2))
+    seen = one.snapshots
+    calls = []
+
+    def late():
+        before = seen()
+        if not calls:
+            calls.append(1)
+            two.ensure(keyed(spark, "b"), stored)
+        return before
+
+    monkeypatch.setattr(one, "snapshots", late)
+    one._commit([one._write(stored(keyed(spark, "a")).withColumn("provider", F.lit("p")))], [])
+    assert {r["request_key"] for r in two.load().collect()} == {"a", "b"}
+
+
+def test_only_asked_buckets_are_read(spark, tmp_path):
+    store = ResultStore(spark, str(tmp_path / "s"), "p", StringType())
+    store.ensure(keyed(spark, [f"key{i}" for i in range(200)]), stored)
+    asked = keyed(spark, ["key7"])
+    plan = store.load(asked)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert len({f.split("bucket=")[1][0] for f in store.load().inputFiles()}) == 16
+    found = store.results(asked).collect()
+    assert [(r["request_key"], r["value"]) for r in found] == [("key7", "KEY7")]
