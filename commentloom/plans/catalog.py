@@ -35,6 +35,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 HASH_DIM = 64
 NEIGHBOURS = 5
 SMALL_BLOCK, SMALL_PASS = 16, 4
+SWEEP = (2, 3, 4)
 CLUSTERING = ClusteringSettings()
 TERMS = TermSettings()
 
@@ -169,6 +170,40 @@ def survey_scan(spark, folder):
     return _plain(survey.read_files(spark, path, DEFAULT_QUESTIONS))
 
 
+def survey_parts(spark, folder):
+    """The survey as two exports that differ in charset and column order, each file with two label rows."""
+    rows = views.survey(spark, folder).withColumnsRenamed({"response_id": "ResponseId", "user_language": "UserLanguage"})
+    base = f"{shared_folder(spark)}/parts-{uuid.uuid4().hex}"
+    odd = F.crc32("ResponseId") % 2 == 1
+    paths = []
+    for part, encoding, order in ((~odd, "UTF-8", rows.columns), (odd, "UTF-16", rows.columns[::-1])):
+        paths.append(f"{base}/{encoding}")
+        some = _with_label_rows(rows.where(part).select(*[name(c) for c in order]))
+        some.write.options(sep="\t", header=True, quote='"', escape='"', nullValue="NA", emptyValue="", encoding=encoding).csv(paths[-1])
+    return _plain(survey.read_files(spark, paths, DEFAULT_QUESTIONS, label_rows=2))
+
+
+def _with_label_rows(rows: DataFrame) -> DataFrame:
+    """Two rows of labels before the rows of each task, which become a file."""
+
+    def add(batches):
+        for i, batch in enumerate(batches):
+            if not i:
+                yield batch.iloc[:0].reindex(range(2)).fillna("label")
+            yield batch
+
+    plain = rows.toDF(*[f"c{i}" for i in range(len(rows.columns))])
+    return plain.mapInPandas(add, plain.schema).toDF(*rows.columns)
+
+
+def question_columns(spark, folder):
+    """Configured questions in their order, and the translated columns by their names."""
+    chosen = validate.resolve_questions(["Q4.10", "Q4.3"])
+    rows = views.survey(spark, folder).select("response_id", *[name(c) for c in chosen])
+    translated = rows.select("response_id", *[tx.clean_text(name(c)).alias(f"{c}_translated") for c in chosen], F.lit(1).alias("other"))
+    return _plain(translated.select("response_id", *[name(c) for c in validate.columns_like(translated)]))
+
+
 def question_files(spark, folder):
     """Comments exported with a directory per question; the scan reads the chosen ones."""
     path = f"{shared_folder(spark)}/questions-{uuid.uuid4().hex}"
@@ -330,14 +365,42 @@ def clusters(spark, folder):
     return found
 
 
+def _document_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its hashed vector."""
+    documents = views.texts(spark, folder).select(
+        F.concat(F.lit("Q4."), 2 + F.col("doc_id") % 9).alias("question"), F.col("doc_id").alias("response_id"), "text"
+    )
+    return enrich.embed_hashed(documents, HASH_DIM)
+
+
 def cluster_summary(spark, folder):
-    """Clusters of the document vectors, labelled by their texts."""
-    texts = views.texts(spark, folder).select(F.col("doc_id").alias("response_id"), "text")
-    found, methods = cluster.cluster(_vectors(spark, folder), CLUSTERING)
-    named = labels.label_clusters(found.join(texts, "response_id"))
+    """Clusters of all documents by their hashed vectors, labelled by their texts."""
+    documents = cut(_document_vectors(spark, folder))
+    found, methods = cluster.cluster(documents.select("question", "response_id", "embedding"), CLUSTERING)
+    named = labels.label_clusters(found.join(documents.drop("embedding"), ["question", "response_id"]))
     return labels.cluster_summary(named, methods)
 
 
+def _swept(spark: SparkSession, folder: str) -> DataFrame:
+    """Silhouettes of labels with 2, 3 and 4 clusters that follow from each vector's first component."""
+    rows = _vectors(spark, folder)
+    digits = F.floor(F.abs(F.element_at("embedding", 1)) * 10000).cast("int")
+    labelled = rows.select(
+        "question", "response_id", "embedding", F.array(*[F.lit(k) for k in SWEEP]).alias("ks"),
+        F.array(*[digits % k + 1 for k in SWEEP]).alias("labels"),
+    )
+    return sil.sweep(labelled, CLUSTERING.pair_rows)
+
+
+def silhouette_sweep(spark, folder):
+    return _swept(spark, folder).select("question", "k", _six("silhouette"))
+
+
+def best_k(spark, folder):
+    """The k with the highest score of each question."""
+    return cluster.best_k(_swept(spark, folder)).select("question", "k", _six("silhouette"))
+
+
 def neighbour_weights(spark, folder):
     """Weights of the edges that the layout follows."""
     near = neighbours.knn(_vectors(spark, folder), CLUSTERING.n_neighbors)
@@ -406,10 +469,10 @@ QUERIES: dict[str, Query] = {
         issue_distribution, flag_issues, flagged, clean,
         survey_long, comments_long, question_filter, distinct_texts, row_ids, turns_union,
         detect_language, translate_glossary, translated_wide, store_missing,
-        detect_stored, translate_stored, survey_scan, question_files,
+        detect_stored, translate_stored, survey_scan, survey_parts, question_columns, question_files,
         embed_hash, embedding_summary, parse_predictions,
         valid_vectors, enough_vectors, standardise, pca_scores, pca_gram, knn, knn_blocked, silhouette_blocked, kmeans_pass, core_distance, mutual_reachability,
-        spanning_tree, spanning_tree_blocked, hdbscan, only_noise, silhouette, kmeans_best_k, clusters, cluster_summary, neighbour_weights, layout,
+        spanning_tree, spanning_tree_blocked, hdbscan, only_noise, silhouette, silhouette_sweep, best_k, kmeans_best_k, clusters, cluster_summary, neighbour_weights, layout,
         cluster_tf_idf, cluster_keywords, cluster_labels, cluster_assignments,
         sanitised_text, term_table, term_table_first_seen, term_style, term_audit,
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from commentloom.config import DEFAULT_QUESTIONS, TermSettings
 from commentloom.functions import text as tx, wordlists
-from commentloom.plans.catalog import CLUSTERING, HASH_DIM, NEIGHBOURS, TERMS
+from commentloom.plans.catalog import CLUSTERING, HASH_DIM, NEIGHBOURS, SWEEP, TERMS
 
 
 def _text(value: str) -> str:
@@ -249,6 +249,26 @@ joined AS (
 )
 """
 
+# Silhouettes of labels that follow from the first component, for each k.
+SWEPT = PAIRS + f""",
+labels AS (
+  SELECT question, response_id, k, CAST(floor(abs(embedding[1]) * 10000) AS BIGINT) % k AS label
+  FROM valid, (VALUES {_values([(k,) for k in SWEEP])}) AS ks(k)
+),
+means AS (
+  SELECT p.question, p.response_id, a.k, a.label AS own, b.label AS other, avg(distance) AS m
+  FROM pairs p JOIN labels a USING (question, response_id)
+  JOIN labels b ON b.question = p.question AND b.response_id = p.neighbour_id AND b.k = a.k GROUP BY ALL
+),
+ab AS (
+  SELECT question, k, response_id, max(m) FILTER (own = other) AS a, min(m) FILTER (own <> other) AS b FROM means GROUP BY ALL
+),
+scores AS (
+  SELECT question, k, avg(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette
+  FROM ab GROUP BY question, k HAVING count(b) > 0
+)
+"""
+
 LABELLED = """
 labelled AS (
   SELECT doc_id AS response_id, text, coalesce(label, CAST(doc_id % 10 AS INTEGER)) AS cluster,
@@ -402,6 +422,11 @@ def _twins() -> dict[str, str]:
         "spanning_tree": f"""WITH RECURSIVE {KRUSKAL}
             SELECT question, lo, hi, round(weight, 6) AS weight FROM kruskal JOIN edges USING (question, step) WHERE picked""",
         "hdbscan": f"WITH RECURSIVE {CONDENSED} SELECT question, response_id, CAST(coalesce(number, 0) AS INTEGER) AS cluster FROM members LEFT JOIN numbers USING (question, place)",
+        "silhouette_sweep": f"WITH {SWEPT} SELECT question, k, round(silhouette, 6) AS silhouette FROM scores",
+        "best_k": f"""WITH {SWEPT} SELECT question, arg_max(k, (silhouette, -k)) AS k, round(max(silhouette), 6) AS silhouette
+            FROM scores GROUP BY question""",
+        "question_columns": f"""WITH {SURVEY} SELECT response_id, {_clean('"Q4.10"')} AS "Q4_10_translated",
+            {_clean('"Q4.3"')} AS "Q4_3_translated" FROM survey""",
         "neighbour_weights": f"WITH RECURSIVE {WEIGHTS} SELECT question, response_id, neighbour_id, round(weight, 4) AS weight FROM joined",
         "only_noise": f"WITH {VECTORS} SELECT question, bool_and(cluster = 0) AS noise FROM valid GROUP BY question",
         "silhouette": f"""WITH {PAIRS}, means AS (
@@ -446,6 +471,7 @@ def _twins() -> dict[str, str]:
         "question_files": twins["question_filter"],
         "term_table_first_seen": _first_seen(),
         "survey_scan": f"WITH {SURVEY} SELECT {scanned} FROM survey",
+        "survey_parts": f"WITH {SURVEY} SELECT {scanned} FROM survey",
     }
     twins["spanning_tree_blocked"] = twins["spanning_tree"]
     return twins | {"knn_blocked": twins["knn"], "silhouette_blocked": twins["silhouette"]}
