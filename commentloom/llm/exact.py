@@ -179,7 +179,8 @@ def _keyed(docs: DataFrame, id_column: str, text: str) -> DataFrame:
 
 def _winners_of(keyed: DataFrame, bucket_slots: int) -> DataFrame:
     """A table taken as two arrivals: rows with an even id are the history of the others."""
-    rows = keyed.select(F.col("__digest").alias("digest"), F.col("__id").cast("long").alias("id"))
+    # Texts are read and digested once; what follows needs the digests only.
+    rows = cut(keyed.select(F.col("__digest").alias("digest"), F.col("__id").cast("long").alias("id")))
     even = F.coalesce(F.col("id") % 2 == 0, F.lit(False))
     return winners(rows.where(even), rows.where(~even), bucket_slots)
 
@@ -189,7 +190,7 @@ def flags(docs: DataFrame, id_column: str = "doc_id", text: str = "text", bucket
 
     Rows that repeat the winner's id and text are all flagged as kept.
     """
-    keyed = _keyed(docs, id_column, text).select("__digest", "__id")
+    keyed = cut(_keyed(docs, id_column, text).select("__digest", "__id"))
     won = _winners_of(keyed, bucket_slots)
     return keyed.join(won, F.col("__digest") == F.col("digest")).select(
         F.col("__id").alias("doc_id"),
