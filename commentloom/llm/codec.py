@@ -155,13 +155,17 @@ def encode(
 
     short = rows.where(~is_long).mapInArrow(whole, out)
     long_rows = rows.where(is_long).select(*kept, F.sha2("t", 256).alias("key"), "t")
-    count = F.expr(f"cast((length(t) - 1) div {part_chars} as int)")
-    parts = (
-        long_rows.select("key", "t", F.explode(F.sequence(F.lit(0), count)).alias("part"))
-        .select("key", "part", F.substring("t", F.col("part") * part_chars + 1, F.lit(part_chars)).alias("t"))
-        .groupBy("key", "part")
-        .agg(F.first("t").alias("t"))
-    )
+    pieces = columns("key string, part int, t string")
+    arrow_pieces = arrow(pieces)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, "t"):
+            for key, t in zip(batch.column("key").to_pylist(), batch.column("t").to_pylist()):
+                found = [t[s : s + part_chars] for s in range(0, len(t), part_chars)]
+                yield record(arrow_pieces, [[key] * len(found), range(len(found)), found])
+
+    cut_up = long_rows.select("key", "t").mapInArrow(split, pieces)
+    parts = cut_up.groupBy("key", "part").agg(F.first("t").alias("t"))
     part_schema = columns("key string, part int, t string, at binary, first binary, ids binary")
     arrow_part = arrow(part_schema)
 
