@@ -38,13 +38,36 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     For steps whose results are written or collected inside: a stage of a pipeline, a micro-batch.
     """
     name = uuid.uuid4().hex
+    try:
+        with scope(spark, name):
+            yield
+    finally:
+        drop_scope(spark, name)
+
+
+@contextmanager
+def scope(spark: SparkSession, name: str) -> Iterator[None]:
+    """Tables that `cut` writes inside lie together, until `drop_scope(spark, name)` deletes them."""
     outer = _scope.set(name)
     try:
         yield
     finally:
         _scope.reset(outer)
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def drop_scope(spark: SparkSession, name: str) -> None:
+    _delete(spark, f"{shared_folder(spark)}/{name}")
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table of `cut` that nothing reads any more."""
+    for path in df.inputFiles()[:1]:
+        _delete(df.sparkSession, path.rsplit("/", 1)[0])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
