@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from commentloom.runtime import cut
+from commentloom.runtime import cut, drop
 
 
 def _star(edges: DataFrame, larger: bool) -> DataFrame:
@@ -39,7 +39,9 @@ def components(edges: DataFrame) -> DataFrame:
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = mark(now)
     while before[0]:
-        now = cut(_star(_star(now, True), False))
+        last, now = now, cut(_star(_star(now, True), False))
+        # Nothing reads the edges of a round that is over.
+        drop(last)
         after = mark(now)
         if after == before:
             break
