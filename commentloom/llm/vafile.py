@@ -2,7 +2,7 @@
 
 Vectors of integers are compressed to `BITS` bits a dimension: the number of the cell that a component
 falls into. Cells are equally wide within `REACH` deviations of the dimension's mean; the outer ones end at its least and
-greatest value. (Cells at quantiles leave six times as many intervals open: in the outer cells they are too wide.) For given
+greatest value. (Cells at quantiles leave most vectors open: the outer ones are too wide.) For given
 centroids, lookup tables hold the least and the greatest squared gap between a centroid and each cell of each
 dimension; their sums over a vector's cells are an interval that holds its distance to the centroid. A
 centroid whose interval begins beyond the end of another one's is out, and a vector with one centroid left
