@@ -318,6 +318,51 @@ def test_pairs_of_blocks_give_cross_edges_only(spark):
     assert len(edges) == 39 and all((a in mine) != (b in mine) for a, b in zip(edges["lo"], edges["hi"]))
 
 
+def test_small_blocks_share_tasks_and_calls(spark):
+    """1,296 pairs of small blocks: one task, one copy of a row on each side, one call for each block."""
+    df = cut(frame(spark, {"q": np.random.default_rng(9).normal(size=(288, 8))}))
+    rows = df.select("*", F.lit(0).alias("cell"), (F.col("response_id") % 36).cast("int").alias("sub"))
+    cells = spark.createDataFrame([("q", 0, 0, 36, 36)], "question string, a int, b int, n_sub_a int, n_sub_b int")
+    pairs = cut(neighbours.block_pairs(cells, ordered=True))
+    left, right = neighbours.grid(rows, pairs)
+    assert left.where("response_id IS NOT NULL").count() == right.count() == 288
+
+    def sizes(mine, theirs):
+        return mine.iloc[:1][["question"]].assign(mine=len(mine), theirs=len(theirs))
+
+    calls = neighbours.on_pairs(rows, pairs, sizes, "question string, mine int, theirs int").collect()
+    assert [(r["mine"], r["theirs"]) for r in calls] == [(8, 280)] * 36
+
+
+@pytest.mark.parametrize("bounded", [True, False])
+def test_forest_between_sides_looks_at_near_pairs_only(monkeypatch, bounded):
+    """Rows on both sides, ties on a lattice, two far groups: with the known edges it holds the tree of all pairs."""
+    import pandas as pd
+
+    grid = np.array([(a, b) for a in range(6) for b in range(5)], float)
+    points = np.concatenate([grid, grid + 100.0])
+    n = len(points)
+    ids, core = np.random.default_rng(4).permutation(n) + 10, np.ones(n)
+    rows = pd.DataFrame({"question": "q", "response_id": ids, "embedding": list(points), "core": core, "cell": 0, "sub": np.arange(n) // 10})
+    blocks = [rows[rows["sub"] == b] for b in range(6)]
+    known = [forest._local_tree(b) for b in blocks] + [forest._local_tree(pd.concat([b.iloc[:1] for b in blocks]))]
+    known = pd.concat(known)[["question", *forest.EDGE]].drop_duplicates()
+    steps = forest._rounds(known)
+    rows = rows.merge(steps[["response_id", "joined", "longest"]], on="response_id")
+    if not bounded:
+        rows[["joined", "longest"]] = None
+    named = [(np.arange(b * 10, b * 10 + 10), [np.arange(c * 10, c * 10 + 10) for c in range(b + 1, 6)]) for b in range(5)]
+    seen = []
+    monkeypatch.setattr(forest, "_forest", lambda w, lo, hi, real=forest._forest: seen.append(len(w)) or real(w, lo, hi))
+    between = forest._between(rows, rows, named)
+    both = pd.concat([known, between]).drop_duplicates()
+    found = set(zip(*forest._forest(*(both[c].to_numpy() for c in forest.EDGE))))
+    whole = forest._local_tree(rows)
+    assert found == set(whole[list(forest.EDGE)].itertuples(index=False, name=None))
+    # Within a group by steps of the group, not by those that link the two.
+    assert not bounded or seen[0] < 600
+
+
 def test_fallback_when_all_is_noise(spark):
     line = np.column_stack([np.arange(12) ** 2.0, np.zeros(12)])
     blobs = np.vstack([RNG.normal(0, 0.1, (12, 2)), RNG.normal(9, 0.1, (12, 2))])
