@@ -334,6 +334,25 @@ def test_small_blocks_share_tasks_and_calls(spark):
     assert [(r["mine"], r["theirs"]) for r in calls] == [(8, 280)] * 36
 
 
+@pytest.mark.parametrize("piece", [8192, 40])
+def test_small_bins_do_not_copy_rows(spark, monkeypatch, piece):
+    """Blocks of four rows: a row goes to each task that holds its targets, not to each of its 50 bins."""
+    rng = np.random.default_rng(7)
+    points = np.vstack([rng.normal(c, 1.0, (80, 4)) for c in range(4)])
+    labelled = cut(frame(spark, {"q": points}).withColumn("cluster", F.floor(F.col("response_id") / 80).cast("int")))
+    copies = []
+
+    def counted(points, clusters, asked, real=silhouette._distance_sums):
+        copies.append(asked.select(F.explode("sides")).count())
+        return real(points, clusters, asked)
+
+    monkeypatch.setattr(silhouette, "PIECE_ROWS", piece)
+    monkeypatch.setattr(silhouette, "_distance_sums", counted)
+    scores = [silhouette.silhouette(labelled, *limits).first()["silhouette"] for limits in ((4, 2), (4,), (16_384,))]
+    assert np.allclose(scores, scores[2])
+    assert copies[0] == copies[1] <= 320 * -(-320 // piece) and copies[2] == 320
+
+
 @pytest.mark.parametrize("bounded", [True, False])
 def test_forest_between_sides_looks_at_near_pairs_only(monkeypatch, bounded):
     """Rows on both sides, ties on a lattice, two far groups: with the known edges it holds the tree of all pairs."""
