@@ -49,6 +49,13 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
+def members(links: DataFrame) -> DataFrame:
+    """(row, component) of all rows with a link, the least row of each component included."""
+    found = components(links)
+    least = found.select(F.col("component").alias("row"), "component").distinct()
+    return found.select(F.col("node").alias("row"), "component").unionByName(least)
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """A table of `docs` with columns c0, c1, … and a number of each row, `row`."""
     return cut(docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).withColumn("row", F.monotonically_increasing_id()))

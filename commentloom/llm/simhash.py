@@ -199,12 +199,17 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     )
 
 
+def groups(rows: DataFrame, text: str, distance: int = DISTANCE, segments: int = SEGMENTS, most: int = MOST) -> DataFrame:
+    """(row, component) of all rows of a table with a number `row`."""
+    marked = cut(fingerprints(rows, "row", text))
+    return marked.join(classes(marked, distance, segments, most), "fp").select(F.col("id").alias("row"), F.col("component_id").alias("component"))
+
+
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", distance: int = DISTANCE, segments: int = SEGMENTS, most: int = MOST) -> DataFrame:
     """One row of `docs` of each component, with all columns: that with the smallest id.
 
     Rows without an id, and different texts under one id, count like any others.
     """
     rows = numbered(docs)
-    marked = cut(fingerprints(rows, "row", f"c{docs.columns.index(text)}"))
-    found = marked.join(classes(marked, distance, segments, most), "fp").select(F.col("id").alias("row"), F.col("component_id").alias("component"))
+    found = groups(rows, f"c{docs.columns.index(text)}", distance, segments, most)
     return least_rows(rows, found, docs.columns, id_column)

@@ -266,3 +266,23 @@ def test_users_columns_survive_stripping(spark, docs):
     stripped = substrings.strip(frame)
     assert stripped.columns == frame.columns
     assert {tuple(r) for r in stripped.select("__null", "__key", "none", "rest", "spans", "k1").collect()} == {("mine",) * 6}
+
+
+def test_pipeline_links_near_copies_by_fingerprint_and_by_shingles(spark):
+    """Texts of equal fingerprints whose shingle sets differ, a near copy by shingles only, and a text alone."""
+    import corpus_pipeline
+
+    common = " ".join(["alpha beta gamma"] * 200)
+    words = [f"w{i}" for i in range(120)]
+    texts = {
+        1: " ".join([common, *[f"y{i}" for i in range(30)]]), 2: " ".join([common, *[f"z{i}" for i in range(30)]]),
+        3: " ".join(words), 4: " ".join([*words[:60], "other", *words[60:]]), 5: " ".join(f"x{i}" for i in range(50)), 6: None, 7: "  ",
+    }
+    marks = {i: simhash.fingerprint(t or "") for i, t in texts.items()}
+    assert (marks[3] ^ marks[4]).bit_count() > simhash.DISTANCE
+    assert (marks[1] ^ marks[2]).bit_count() <= simhash.DISTANCE
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
+    alike = {r["doc_id"] for r in similar.keep_one(docs).collect()}
+    kept = {r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, "").collect()}
+    assert alike == {1, 2, 3, 5, 6}
+    assert kept == {1, 3, 5, 6}
