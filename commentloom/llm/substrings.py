@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from commentloom.llm.batches import arrow, columns, record, small
-from commentloom.runtime import cut
+from commentloom.runtime import cut, drop
 
 LENGTH = 200
 GRAM = 48
@@ -232,7 +232,10 @@ def repeated_spans(docs: DataFrame, text: str, length: int = LENGTH, gram: int =
     # A table between the join and the sums: a gram that many texts share is then dealt out by
     # all four columns. One row per place of a text, with the number of rows that have the text.
     places = cut(found_anchors(rows, length, gram).join(frequent, "gram", "left_semi"))
+    # Here and below, tables that nothing reads any more are deleted.
+    drop(frequent)
     kept = cut(places.groupBy("gram", "context", "text", "at").agg(F.count("*").alias("copies")))
+    drop(places)
     holder = F.min(F.struct("text", "at"))
     contexts = cut(kept.groupBy("gram", "context").agg(F.sum("copies").alias("n"), holder.alias("holder")))
     mixed = contexts.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram")
@@ -244,7 +247,9 @@ def repeated_spans(docs: DataFrame, text: str, length: int = LENGTH, gram: int =
         open_contexts.unionByName(others).join(asked, "gram", "left_semi").select("context", F.col("holder.text").alias("text"), F.col("holder.at").alias("at"))
     )
     suffixes = cut(_shared_before(_suffixes(rows, wanted, length, gram), length, gram))
+    drop(wanted)
     compared = cut(_buckets(suffixes, length, gram))
+    drop(suffixes)
     inside = compared.where("digest is null").select("context", "low", "high")
     crossing = compared.where("digest is not null")
     # By a too: a place may be seen from two anchors, but only once with the same a.
@@ -254,6 +259,8 @@ def repeated_spans(docs: DataFrame, text: str, length: int = LENGTH, gram: int =
     ranges = inside.unionByName(across).unionByName(settled)
     # A table, so that adaptive execution can split a context that very many places share.
     ranges = cut(ranges.groupBy("context").agg(F.collect_set(F.struct("low", "high")).alias("ranges")))
+    drop(compared)
+    drop(contexts)
     # A string starts a bytes before the anchor, so low..high covers one stretch, which the text's
     # ends cut off where a settled context is cut off by them.
     at = kept.join(ranges, "context").select(
