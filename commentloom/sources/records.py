@@ -8,7 +8,9 @@ blocks into records, and the few pieces of records that go beyond a border are p
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 import pyarrow as pa
@@ -18,6 +20,8 @@ from commentloom.runtime import cut
 
 TAB, QUOTE = b"\t", b'"'
 BLOCK = ["path", "at"]
+# Lines that become Python objects at a time, and bytes of records after which a task hands them on.
+LINES, HANDED_ON_BYTES = 1024, 4 << 20
 
 
 def open_after(line: bytes, inside: bool) -> bool:
@@ -57,19 +61,16 @@ def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def _by_block(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[tuple, Iterator[bytes]]]:
-    """Runs of rows that agree in `columns`, with their lines."""
-    held: tuple | None = None
-    found: list[bytes] = []
-    for batch in batches:
-        keys = zip(*(batch.column(c).to_pylist() for c in columns))
-        for key, line in zip(keys, batch.column("line").to_pylist()):
-            if key != held:
-                if held is not None:
-                    yield held, found
-                held, found = key, []
-            found.append(line)
-    if held is not None:
-        yield held, found
+    """Runs of rows that agree in `columns`, with their lines. These are streamed, so a block is never held."""
+
+    def rows() -> Iterator[tuple[tuple, bytes]]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, LINES):
+                part = batch.slice(at, LINES)
+                yield from zip(zip(*(part.column(c).to_pylist() for c in columns)), part.column("line").to_pylist())
+
+    for key, run in groupby(rows(), itemgetter(0)):
+        yield key, (line for _, line in run)
 
 
 ENDS = T.StructType(
@@ -135,8 +136,16 @@ def records(spark: SparkSession, path: str | list[str], encoding: str, skip: int
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, _, inside, left_out), found in _by_block(batches, ["path", "at", "inside", "skip"]):
-            pieces = _cut_up(found, inside, left_out)
-            yield pa.record_batch([[_text(p, encoding) for kind, p, kept in pieces if kind == "whole" and kept]], schema=arrow_text)
+            texts, n = [], 0
+            for kind, piece, kept in _cut_up(found, inside, left_out):
+                if kind != "whole" or not kept:
+                    continue
+                texts.append(_text(piece, encoding))
+                n += len(piece)
+                if n >= HANDED_ON_BYTES:
+                    yield pa.record_batch([texts], schema=arrow_text)
+                    texts, n = [], 0
+            yield pa.record_batch([texts], schema=arrow_text)
 
     complete = scan.mapInArrow(whole, text)
     broken = found.where("inside OR ends_inside").select(*BLOCK)
@@ -175,12 +184,12 @@ def _text(record: bytes, encoding: str) -> str:
     return record.removesuffix(b"\r").decode(encoding, "replace")
 
 
-def _cut_up(found: list[bytes], inside: bool, left_out: int) -> list[tuple[str, bytes, bool]]:
-    """Kind, bytes and whether it stays, of the records and pieces of a block.
+def _cut_up(found: Iterable[bytes], inside: bool, left_out: int) -> Iterator[tuple[str, bytes, bool]]:
+    """Kind, bytes and whether it stays, of the records and pieces of a block, one after the other.
 
     A piece `begins` a record that the block leaves open, `goes on` through it, or `ends` one that it began with.
     """
-    out, held, begun = [], [], not inside
+    held, begun = [], not inside
     number = 0
     for line in found:
         if not held and begun and _blank(line):
@@ -188,8 +197,7 @@ def _cut_up(found: list[bytes], inside: bool, left_out: int) -> list[tuple[str,
         held.append(line)
         inside = open_after(line, inside)
         if not inside:
-            out.append(("whole" if begun else "ends", b"\n".join(held), number >= left_out))
+            yield "whole" if begun else "ends", b"\n".join(held), number >= left_out
             held, begun, number = [], True, number + 1
     if held:
-        out.append(("begins" if begun else "goes on", b"\n".join(held), number >= left_out))
-    return out
+        yield "begins" if begun else "goes on", b"\n".join(held), number >= left_out

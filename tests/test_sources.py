@@ -1,10 +1,12 @@
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 import pytest
 
 from commentloom.sources import survey, tables
+from commentloom.sources.records import _by_block, _cut_up
 
 HEAD = "ResponseId\tUserLanguage\tQ4.3\tQ4.2\textra\n"
 
@@ -169,3 +171,22 @@ def test_read_clusters_needs_its_columns(spark, tmp_path):
     spark.range(1).write.parquet(str(tmp_path / "x"))
     assert tables.read_clusters(spark, str(tmp_path / "x")) is None
     assert tables.read_clusters(spark, str(tmp_path / "absent")) is None
+
+
+def test_a_block_is_not_held():
+    def batches():
+        for _ in range(3):
+            yield pa.record_batch({"path": ["f"] * 3, "at": [0] * 3, "line": [b"a\tb", b'c\t"d', b'e"']})
+        pytest.fail("the block was read to its end before its first record")
+
+    key, lines = next(_by_block(batches(), ["path", "at"]))
+    pieces = _cut_up(lines, False, 1)
+    assert key == ("f", 0)
+    assert [next(pieces) for _ in range(3)] == [("whole", b"a\tb", False), ("whole", b'c\t"d\ne"', True), ("whole", b"a\tb", True)]
+
+
+def test_blocks_next_to_each_other():
+    batch = pa.record_batch({"path": ["f", "f", "f", "g"], "at": [0, 0, 7, 7], "line": [b"a", b"b", b"c", b"d"]})
+    assert [(key, list(lines)) for key, lines in _by_block([batch, batch.slice(3)], ["path", "at"])] == [
+        (("f", 0), [b"a", b"b"]), (("f", 7), [b"c"]), (("g", 7), [b"d", b"d"]),
+    ]
