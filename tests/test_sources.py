@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 import pytest
 
+from commentloom.plans import catalog
 from commentloom.sources import survey, tables
 from commentloom.sources.records import _by_block, _cut_up
 
@@ -190,3 +191,15 @@ def test_blocks_next_to_each_other():
     assert [(key, list(lines)) for key, lines in _by_block([batch, batch.slice(3)], ["path", "at"])] == [
         (("f", 0), [b"a", b"b"]), (("f", 7), [b"c"]), (("g", 7), [b"d", b"d"]),
     ]
+
+
+def test_label_rows_without_python(spark):
+    # Three tasks with the rows 0 and 1, 2, and none.
+    rows = spark.range(0, 6, 1, 3).where("id < 3").select(
+        F.concat(F.lit("r"), "id").alias("ResponseId"), F.lit("x").alias("Q4.2"), F.lit(None).cast("string").alias("Q4.3")
+    )
+    labelled = catalog._with_label_rows(rows)
+    label = ("label",) * 3
+    assert labelled.columns == rows.columns
+    assert [tuple(r) for r in labelled.collect()] == [label, label, ("r0", "x", None), ("r1", "x", None), label, label, ("r2", "x", None)]
+    assert "MapInPandas" not in labelled._jdf.queryExecution().toString()
