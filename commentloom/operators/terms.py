@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from commentloom.config import TermSettings
 from commentloom.functions.text import sanitize, terms
+from commentloom.runtime import cut, numbered
 
 # Question name of the stop words that hold for every question.
 EVERY = "*"
@@ -50,6 +51,14 @@ def kept_terms(df: DataFrame, settings: TermSettings = TermSettings(), by: tuple
     )
 
 
+def _in_order(df: DataFrame) -> DataFrame:
+    """`df` with the place of each response in their order for its `response_id`."""
+    # A table, as the bounds of the ranges are sampled from it first.
+    ids = cut(df.select("response_id").distinct()).withColumn("_all", F.lit(0))
+    places = numbered(ids, "_all", ["response_id"], "_place").select(F.col("response_id").alias("_id"), "_place")
+    return df.join(places, F.col("response_id").eqNullSafe(F.col("_id"))).drop("_id", "response_id").withColumnRenamed("_place", "response_id")
+
+
 def term_table(df: DataFrame, settings: TermSettings = TermSettings(), by: tuple[str, ...] = ()) -> DataFrame:
     """`question, *by, term, freq_sum, rank, weight`: the most frequent terms.
 
@@ -59,7 +68,11 @@ def term_table(df: DataFrame, settings: TermSettings = TermSettings(), by: tuple
     """
     group = ("question", *by)
     tie = "seen" if settings.ties == FIRST_SEEN else "term"
-    more = [F.min("seen").alias("seen")] if tie == "seen" else []
+    more = []
+    if tie == "seen":
+        df = _in_order(df.select(*group, "response_id", "text"))
+        # One long, as the least of it is kept in a hash table; for that of a struct all tokens would be sorted.
+        more = [F.min(F.shiftleft("seen.response_id", 31) + F.col("seen._at")).alias("seen")]
     counts = (
         kept_terms(df, settings, by)
         .groupBy(*group, "term")

@@ -104,3 +104,14 @@ def test_texts_are_tokenised_once(spark):
     scored = labels.tf_idf(labels.cluster_words(rows))
     plan = scored._jdf.queryExecution().executedPlan().toString()
     assert "regexp_extract_all" not in plan and plan.count("FileScan parquet") >= 1
+
+
+def test_first_seen_keeps_its_counts_in_a_hash_table(spark):
+    rows = [("Q", "r2", "pear fig"), ("Q", "r10", "plum fig"), ("Q", None, "kiwi"), ("Q", "r10", "lime plum"), ("Q", None, "date kiwi"), ("P", "r3", "fig"), ("P", "r3", None)]
+    answers = spark.createDataFrame(rows, "question string, response_id string, text string").repartition(3)
+    table = terms.term_table(answers, TermSettings(ties=terms.FIRST_SEEN, custom_stop_words=()))
+    found = {(r["question"], r["rank"]): (r["term"], r["freq_sum"]) for r in table.collect()}
+    # Responses in the order of their ids, those without one first; within one by place.
+    firsts = {("Q", 1): ("kiwi", 2), ("Q", 2): ("plum", 2), ("Q", 3): ("fig", 2), ("Q", 4): ("date", 1), ("Q", 5): ("lime", 1), ("Q", 6): ("pear", 1)}
+    assert found == firsts | {("P", 1): ("fig", 1)}
+    assert "SortAggregate" not in table._jdf.queryExecution().toString()
