@@ -282,6 +282,25 @@ def test_single_moves_go_on_where_passes_rest():
     assert np.isclose(sorted(best["q"][0][2].ravel()), [3.4 / 3, 9.0]).all()
 
 
+def test_models_at_rest_take_part_in_no_further_pass():
+    rng = np.random.default_rng(1)
+    x = {"a": rng.normal(size=(400, 4)), "b": np.repeat(np.eye(4) * 50, 5, axis=0) + rng.normal(size=(20, 4))}
+    starts = {q: [(k, 0, held[:k].copy()) for k in (2, 3, 7)] for q, held in x.items()}
+    asked = []
+
+    def run(models):
+        asked.append({q: [k for k, _, _ in held] for q, held in models.items()})
+        return {q: kmeans._lines(x[q], held) for q, held in models.items()}
+
+    found, live = kmeans._improve(starts, 200, run)
+    assert not live and asked[0] == {"a": [2, 3, 7], "b": [2, 3, 7]}
+    assert "b" not in asked[-1] and len(asked[-1]["a"]) < 3
+    for q in x:
+        for i, (k, _, centres) in enumerate(starts[q]):
+            alone, _ = kmeans._improve({q: [(k, 0, centres)]}, 200, run)
+            assert np.array_equal(found[q][i][2], alone[q][0][2])
+
+
 @pytest.mark.parametrize("block_rows", [16_384, 25])
 def test_scores_of_all_k_in_one_pass(spark, rows, block_rows):
     """As one silhouette for each k, copies included, in one block and in many."""
