@@ -1,10 +1,12 @@
 from dataclasses import replace
 import os
 import random
+import time
 
 from pyspark.sql import functions as F
 
 from commentloom.config import ClusteringSettings, EmbeddingSettings, InputSettings, Settings, TermSettings
+from commentloom import runtime
 from commentloom.operators import enrich
 from commentloom.plans import pipeline
 from commentloom.sources.tables import read_clusters
@@ -95,3 +97,20 @@ def test_scratch_tables_go(spark):
         folder = os.path.dirname(inside.inputFiles()[0].removeprefix("file://"))
         assert inside.count() == 5 and os.path.exists(folder)
     assert not os.path.exists(folder) and outside.count() == 3 and shared_folder(spark)
+
+
+def test_a_table_frees_the_shuffle_files_behind_it(spark):
+    env = spark._jvm.org.apache.spark.SparkEnv.get()
+    folders = [f.getPath() for f in env.blockManager().diskBlockManager().localDirs()]
+
+    def held():
+        return {f for folder in folders for _, _, files in os.walk(folder) for f in files if f.startswith("shuffle_")}
+
+    before, setting = held(), spark.conf.get(runtime.SHUFFLE_CLEANUP)
+    table = runtime.cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):
+        if held() <= before:
+            break
+        time.sleep(0.2)
+    assert held() <= before
+    assert table.count() == 7 and spark.conf.get(runtime.SHUFFLE_CLEANUP) == setting
