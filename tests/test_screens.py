@@ -64,3 +64,24 @@ def test_longest_steps_are_those_of_the_tree(monkeypatch):
     assert found == set(whole[list(forest.EDGE)].itertuples(index=False, name=None))
     # Only edges of the tree are no longer than the longest step between their ends.
     assert sum(pairs) < 300
+
+
+def test_sums_over_many_clusters_take_one_step_a_distance():
+    """4,096 clusters of two rows: right sums, without a table of all rows by all clusters (268 MB)."""
+    import tracemalloc
+
+    from commentloom.operators import silhouette
+
+    rng = np.random.default_rng(5)
+    y, weight = rng.normal(size=(8192, 4)), rng.integers(1, 4, 8192)
+    target = rng.permutation(8192) // 2
+    others = pd.DataFrame({"question": "q", "target": target, "weight": weight, "y": list(y), "size": 2})
+    rows = table(y[:64], np.arange(64)).assign(cluster=target[:64], copies=1, targets=[[int(t), (int(t) + 7) % 4096] for t in target[:64]])
+    tracemalloc.start()
+    found = silhouette._add_up(rows, others)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 128 and peak < 60e6
+    d = neighbours.distances(y, y[:64]) * weight[:, None]
+    expected = [d[target == t, i].sum() for i, t in zip(found["response_id"], found["target"])]
+    assert np.allclose(found["total"], expected)
