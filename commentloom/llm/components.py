@@ -7,45 +7,44 @@ from pyspark.sql import DataFrame, functions as F
 from commentloom.runtime import cut, drop
 
 
-def _star(edges: DataFrame, larger: bool) -> DataFrame:
-    """One star round over edges (u, v) with u > v.
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) with u > v of a large star: each node links its larger neighbours to the least node it sees.
 
-    Large star: each node links its larger neighbours to the least node it sees. Small star: each
-    node links its smaller neighbours, and itself, to the least of them.
+    As u > v, that is its least v, or itself if it has none.
     """
-    if larger:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    else:
-        both = edges
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    joined = both.join(least, "u")
-    if larger:
-        made = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        made = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            least.select("u", F.col("m").alias("v"))
-        )
-    return made.where("u <> v").distinct()
+    least = edges.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"))
+    return edges.join(least, F.col("v") == F.col("x"), "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Edges of a small star: each node links its smaller neighbours, and itself, to the least of them."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    made = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+    return edges.join(least, "u").select(F.inline(made)).where("u <> v").distinct()
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether each node has one smaller neighbour and no larger one, or no smaller one: then the edges are stars."""
+    end = lambda x, up: F.struct(F.col(x).alias("x"), F.lit(up).alias("up"), F.lit(1 - up).alias("down"))
+    ends = F.array(end("u", 1), end("v", 0))
+    nodes = edges.select(F.inline(ends)).groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not nodes.where("up + down > 1 AND up > 0").agg(F.count("*")).first()[0]
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of all nodes with an edge; the component is its least node.
 
     `edges` has long columns u and v. No round gathers the neighbours of a node: minima are
-    partial aggregates, and joins have one row per node on one side. Rounds go on until no edge
-    changes, which the number of edges and the sum of their hashes show.
+    partial aggregates, and joins have one row per node on one side. Rounds go on until the edges are stars: in each,
+    more nodes of a component become neighbours of its least one, and when all are, the next round leaves these edges only.
+    Each star is a query of its own, as the driver plans and follows small plans with far less memory than one of both.
     """
     now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    before = mark(now)
-    while before[0]:
-        last, now = now, cut(_star(_star(now, True), False))
-        # Nothing reads the edges of a round that is over.
-        drop(last)
-        after = mark(now)
-        if after == before:
-            break
-        before = after
+    while not _settled(now):
+        # Nothing reads the edges of a star that is over.
+        for star in (_large_star, _small_star):
+            last, now = now, cut(star(now))
+            drop(last)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 

@@ -120,6 +120,32 @@ def test_components(spark):
     assert found == {x: root(x) for x in parent if root(x) != x}
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_components_of_random_edges(spark, seed):
+    rng = random.Random(seed)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(rng.choice([25, 40, 70]))] + [(7, 7), (3, 9), (3, 9)]
+    least = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in least:
+        for a, b in edges:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    found = components.components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert sorted(map(tuple, found)) == sorted((x, c) for x, c in least.items() if x != c)
+
+
+def test_rounds_are_few_and_lean(spark, monkeypatch, capsys):
+    """Queries and plans take memory of the driver: stars need no round, and no star reads its edges more than twice."""
+    tables = []
+    monkeypatch.setattr(components, "cut", lambda df, put=components.cut: tables.append(put(df)) or tables[-1])
+    edges = lambda pairs: spark.createDataFrame(pairs, "u long, v long")
+    stars = components.components(edges([(1, 2), (3, 1), (8, 5), (5, 8), (9, 9)])).collect()
+    assert sorted(map(tuple, stars)) == [(2, 1), (3, 1), (8, 5)] and len(tables) == 1
+    capsys.readouterr()
+    for star in (components._large_star, components._small_star):
+        star(tables[0]).explain()
+        assert capsys.readouterr().out.count("FileScan") == 2
+
+
 def removed(texts, length):
     seen = {}
     data = [(t or "").encode() for t in texts]
