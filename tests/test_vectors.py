@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from commentloom.config import ClusteringSettings
 from commentloom.operators import cluster, contraction, density, forest, kmeans, layout, neighbours, silhouette, vectors
-from commentloom.runtime import cut, running
+from commentloom.runtime import cut, running, shared_folder
 
 SETTINGS = ClusteringSettings()
 RNG = np.random.default_rng(3)
@@ -482,3 +482,39 @@ def test_scores_of_copies_do_not_depend_on_partitions(spark):
         {tuple(r["embedding"]) for r in vectors.reduce_dimensions(rows.repartition(n), 4).collect()} for n in (1, 7, 37)
     ]
     assert [len(s) for s in seen] == [5, 5, 5]
+
+
+def test_rounds_of_tasks_copy_few_rows(spark, monkeypatch):
+    """Many small super-blocks: no round has more than a few copies of the rows, and the neighbours and the tree are those of one block."""
+    points = np.random.default_rng(12).normal(size=(400, 4))
+    df = cut(frame(spark, {"q": points, "r": points[:150]}))
+    edges = lambda **how: set(map(tuple, density.spanning_tree(df, replace(SETTINGS, **how)).select("question", "weight", "lo", "hi").collect()))
+    near = lambda block: set(map(tuple, neighbours.knn(df, 4, block).collect()))
+    one = near(16_384), edges(block_rows=16_384)
+    sides = []
+
+    def counted(rows, dealt, *how, real=neighbours._met):
+        held = [side.where("response_id IS NOT NULL").count() for side in neighbours._filled(rows, dealt)]
+        sides.append((sum(held), dealt.where("row_side > column_side").count()))
+        return real(rows, dealt, *how)
+
+    monkeypatch.setattr(neighbours, "PIECE_ROWS", 30)
+    monkeypatch.setattr(neighbours, "_met", counted)
+    assert (near(8), edges(block_rows=8)) == one
+    assert len(sides) > 6 and max(n for n, _ in sides) <= 6 * 550
+    # Of the tree, a pair of super-blocks is one task.
+    assert not sides[-1][1] and sides[0][1]
+
+
+def test_steps_leave_only_their_result(spark):
+    """The clusters hold no table of the vectors once they are found."""
+    import glob
+
+    points = np.vstack([np.random.default_rng(3).normal(c, 0.2, (40, 6)) for c in (0, 5)])
+    df = cut(frame(spark, {"q": points}))
+    held = lambda: {p for p in glob.glob(f"{shared_folder(spark).removeprefix('file:')}/**/*.parquet", recursive=True) if p.endswith(".parquet")}
+    before = held()
+    found, methods = cluster.cluster(df, replace(SETTINGS, pca_dims=3))
+    assert found.count() == 80 and methods.count() == 1
+    left = spark.read.option("mergeSchema", "true").parquet(*sorted(held() - before))
+    assert "embedding" not in left.columns
