@@ -518,3 +518,40 @@ def test_steps_leave_only_their_result(spark):
     assert found.count() == 80 and methods.count() == 1
     left = spark.read.option("mergeSchema", "true").parquet(*sorted(held() - before))
     assert "embedding" not in left.columns
+
+
+def test_trees_beyond_the_limit_look_at_near_pairs_only(spark, monkeypatch):
+    """Two far groups, ties and copies: the bounds hold for the known tree, and few pairs get distances; the tree is that of one task."""
+    import pandas as pd
+
+    rng = np.random.default_rng(21)
+    points = np.concatenate([rng.normal(c, 1.0, (120, 8)) for c in (0, 50)] + [np.round(rng.normal(0, 1.0, (60, 8)))])
+    df = cut(frame(spark, {"q": points, "r": points[::3]}))
+    edges = lambda **how: set(map(tuple, density.spanning_tree(df, replace(SETTINGS, **how)).select("question", "weight", "lo", "hi").collect()))
+    seen = []
+
+    def kept(known, real=forest._levels):
+        levels = real(known)
+        seen.append([t.where("question = 'q'").toPandas() for t in (known, levels)])
+        return levels
+
+    monkeypatch.setattr(forest, "_levels", kept)
+    assert edges(block_rows=16, tree_limit=0) == edges(block_rows=16_384)
+    known, levels = seen[0]
+    steps = forest._rounds(known).set_index("response_id")
+    levels = levels.set_index("response_id")
+    rows = pd.DataFrame({"question": "q", "response_id": levels.index, "embedding": list(points[levels.index]), "core": 0.0, "cell": 0, "joined": None})
+    a, b = np.triu_indices(len(levels), 1)
+    place, longest = np.concatenate(steps["joined"].loc[levels.index].to_list()), np.stack(steps["longest"].loc[levels.index].to_list())
+    exact = forest._longest(place[a], longest[a], place[b], longest[b])
+    label, far = np.stack(levels["labels"].to_list()), np.stack(levels["far"].to_list())
+    same = label[a] == label[b]
+    assert same.any(axis=1).all()
+    level = same.argmax(axis=1)
+    assert (np.maximum(far[a, level], far[b, level]) >= exact).all()
+    measured = []
+    monkeypatch.setattr(forest, "pair_distances", lambda x, i, y, j, real=forest.pair_distances: measured.append(len(i)) or real(x, i, y, j))
+    rows["labels"], rows["far"] = list(label), list(far)
+    half = np.arange(len(rows)) % 2
+    found = forest._between(rows, rows, [(np.flatnonzero(half == 0), [np.flatnonzero(half == 1)])])
+    assert sum(measured) < 0.4 * (half == 0).sum() * (half == 1).sum() and len(found)
