@@ -203,11 +203,18 @@ def grid(rows: DataFrame, pairs: DataFrame, side_rows: int = SIDE_ROWS) -> tuple
     hold less than `PIECE_ROWS` rows, or more where one would hold more than about `side_rows` rows. A task has those on
     its left and right that its pairs name, so that a row is copied at most once for each super-block on either
     side, and not for each block it meets, however small the blocks are.
-    The left side also has the pairs themselves, as rows with `other_cell` and `other_sub`.
+    The left side also has the pairs themselves: a row for each of its blocks, with those it `meets`.
     """
     return _filled(rows, _dealt(rows, pairs, side_rows, False).drop("_round"))
 
 
+def _block(cell, sub):
+    """One number for a block, of columns or of arrays."""
+    if isinstance(cell, str):
+        return F.shiftleft(F.col(cell).cast("long"), 32) + F.col(sub)
+    return cell.to_numpy(np.int64) << 32 | sub.to_numpy(np.int64)
+
+
 def _filled(rows: DataFrame, dealt: DataFrame) -> tuple[DataFrame, DataFrame]:
     task = ["row_side", "column_side"]
     wanted = dealt.select("question", "cell", "sub", *task).distinct()
@@ -215,7 +222,9 @@ def _filled(rows: DataFrame, dealt: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted_right = dealt.select(
         "question", F.col("other_cell").alias("cell"), F.col("other_sub").alias("sub"), *[F.col(c).alias(c) for c in task]
     ).distinct()
-    left = rows.join(wanted, ["question", "cell", "sub"]).unionByName(dealt, allowMissingColumns=True)
+    # One row for each block of a task, and not for each pair.
+    meets = dealt.groupBy("question", "cell", "sub", *task).agg(F.collect_list(_block("other_cell", "other_sub")).alias("meets"))
+    left = rows.join(wanted, ["question", "cell", "sub"]).unionByName(meets, allowMissingColumns=True)
     right = rows.select(*[F.col(c).alias(c) for c in rows.columns]).join(wanted_right, ["question", "cell", "sub"])
     return left, right
 
@@ -242,13 +251,11 @@ def _met(rows: DataFrame, dealt: DataFrame, function, schema: str) -> DataFrame:
     left, right = _filled(rows, dealt)
 
     def run(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        a_pair = mine["other_cell"].notna()
-        held, theirs = mine[~a_pair].reset_index(drop=True), theirs.reset_index(drop=True)
-        own, others = held.groupby(["cell", "sub"]).indices, theirs.groupby(["cell", "sub"]).indices
-        named = [
-            (own[block], [others[b] for b in zip(met["other_cell"].astype(int), met["other_sub"].astype(int))])
-            for block, met in mine[a_pair].groupby(["cell", "sub"])
-        ]
+        a_list = mine["meets"].notna()
+        held, theirs, lists = mine[~a_list].reset_index(drop=True), theirs.reset_index(drop=True), mine[a_list]
+        own, others = (pd.Series(_block(side["cell"], side["sub"])).groupby(_block(side["cell"], side["sub"])).indices for side in (held, theirs))
+        listed = zip(_block(lists["cell"], lists["sub"]).tolist(), lists["meets"])
+        named = [(own[block], [others[b] for b in sorted(np.asarray(met).tolist())]) for block, met in sorted(listed, key=lambda pair: pair[0])]
         return function(held, theirs, named)
 
     keys = ["question", "row_side", "column_side"]
